@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query and the module of this subpackage that has it.
 MODULES = {
+    "op6_simhash": "simhash",
+    "op10_bpe": "bpe",
     "op3_mixing": "mixing",
     "op4_secrets": "secrets",
     "op9_quality_rules": "quality_rules",
