@@ -127,7 +127,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents kept, with failing lines removed; columns as in docs."""
     own = docs.columns
-    judged = measured(docs.select(*own, F.struct(*own).alias("_row")), text).where("kept")
+    judged = measured(docs.select(*own, F.struct(*own).alias("_row")), text)
+    # A filter would be pushed below the arrays it is made from, and each of them computed anew for every use.
+    judged = judged.withColumn("_kept", F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
     return judged.select(*(F.col("clean_text").alias(c) if c == text else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in own))
 
 
