@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query and the module of this subpackage that has it.
 MODULES = {
+    "op2_substrings": "substrings",
     "op6_simhash": "simhash",
     "op10_bpe": "bpe",
     "op3_mixing": "mixing",
