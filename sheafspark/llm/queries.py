@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query and the module of this subpackage that has it.
 MODULES = {
+    "op1_warc": "warc",
+    "op7_order_minhash": "order_minhash",
+    "op8_chat": "chat",
     "op2_substrings": "substrings",
     "op6_simhash": "simhash",
     "op10_bpe": "bpe",
