@@ -13,6 +13,7 @@ MODULES = {
     "op7_order_minhash": "order_minhash",
     "op8_chat": "chat",
     "op2_substrings": "substrings",
+    "op5_quality_model": "quality_model",
     "op6_simhash": "simhash",
     "op10_bpe": "bpe",
     "op3_mixing": "mixing",
