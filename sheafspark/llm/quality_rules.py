@@ -98,7 +98,8 @@ def with_repeats(df: DataFrame, ws: str, n: int, out: str) -> DataFrame:
     while k < n:
         df, k = df.withColumn(f"_h{2 * k}", _paired(f"_h{k}", k)), 2 * k
     twice = (F.size(ws) > n) & (F.size(F.array_distinct(f"_h{n}")) < F.size(f"_h{n}"))
-    df = df.withColumn(out, F.when(twice, _covered(F.col(ws), n)).otherwise(F.lit(0).cast("long")))
+    # As a generator of one row: no later filter is pushed below it, which would compute the arrays anew for every use.
+    df = df.withColumn(out, F.explode(F.array(F.when(twice, _covered(F.col(ws), n)).otherwise(F.lit(0).cast("long")))))
     return df.drop(*(f"_h{2**i}" for i in range(n.bit_length())))
 
 
@@ -127,10 +128,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents kept, with failing lines removed; columns as in docs."""
     own = docs.columns
-    judged = measured(docs.select(*own, F.struct(*own).alias("_row")), text)
-    # A filter would be pushed below the arrays it is made from, and each of them computed anew for every use.
-    judged = judged.withColumn("_kept", F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
-    return judged.select(*(F.col("clean_text").alias(c) if c == text else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in own))
+    judged = measured(docs.select(*own, F.struct(*own).alias("__sheaf_row")), text).where("kept")
+    return judged.select(*(F.col("clean_text").alias(c) if c == text else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"__sheaf_row.{c}").alias(c) for c in own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by the mark, overlapping ones together; columns as in docs."""
     own = docs.columns
-    df = scanned(docs.select(*own, F.struct(*own).alias("_row")), text)
+    df = scanned(docs.select(*own, F.struct(*own).alias("__sheaf_row")), text)
     body = F.coalesce(F.col(text), F.lit(""))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, x: F.when(
@@ -129,7 +129,7 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Dat
     ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
     cleaned = F.when(F.size("spans_found") == 0, F.col(text)).otherwise(F.aggregate("spans_found", first, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body)))))
     df = df.withColumn("_text", cleaned)
-    return df.select(*(F.col("_text").alias(c) if c == text else F.when(F.size("spans_found") == 0, F.col(f"_row.{c}")).otherwise(F.length("_text")).cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in own))
+    return df.select(*(F.col("_text").alias(c) if c == text else F.when(F.size("spans_found") == 0, F.col(f"__sheaf_row.{c}")).otherwise(F.length("_text")).cast("long").alias(c) if c == "n_chars" else F.col(f"__sheaf_row.{c}").alias(c) for c in own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
