@@ -62,15 +62,16 @@ def mix(sizes: DataFrame) -> DataFrame:
     key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     keyed = sizes.withColumn("_key", key).withColumn("_range", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     queued = prefix_sums(keyed, "size", ["source"], "_range", ["_key", "doc_id", "size"], "_start")
-    queued = queued.join(goals(sizes), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_range")
+    queued = queued.join(goals(sizes), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     # Each pass over a queue: the document's words begin at _from of the source's stream, which is served up to _goal.
     passes = queued.withColumn("_goal", F.floor("target").cast("long")).withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     passes = passes.withColumn("_from", F.col("_pass") * F.col("source_size") + F.col("_start")).where((F.col("_pass") == 0) | (F.col("_from") < F.col("_goal")))
     packets = passes.withColumn("_words", F.greatest(F.least(F.col("size"), F.col("_goal") - F.col("_from")), F.lit(0)))
     packets = packets.withColumn("_finish", F.when(F.col("target") > 0, (F.col("_from") + F.col("_words")) / F.when(F.col("target") > 0, F.col("target"))).otherwise(0.0))
-    packets = packets.withColumn("_slot", F.least(F.floor(F.col("_finish") * RANGES), F.lit(RANGES)).cast("int"))
-    packets = packets.drop("_goal", "_from")
+    # Documents that aren't served come after all time ranges, spread by their hash.
+    slot = F.when(F.col("_words") > 0, F.least(F.floor(F.col("_finish") * RANGES), F.lit(RANGES))).otherwise(RANGES + 1 + F.col("_range"))
+    packets = packets.withColumn("_slot", slot.cast("int")).drop("_goal", "_from", "_range")
     sent = prefix_sums(packets, "_words", [], "_slot", ["_finish", "_key", "source", "doc_id", "_start", "_pass"], "_sent")
     budget = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_budget"))  # one row
     cut = sent.join(F.broadcast(budget)).withColumn("_got", F.greatest(F.least(F.col("_words"), F.col("_budget") - F.col("_sent")), F.lit(0)))
@@ -85,15 +86,15 @@ def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     Columns as in docs. A document's rows share its id; documents of which nothing is taken are not in it.
     """
     own = docs.columns
-    with_row = docs.select(F.struct(*own).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"), word_count(F.col(text)).alias("_size"))
+    with_row = docs.select(F.struct(*own).alias("__sheaf_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"), word_count(F.col(text)).alias("_size"))
     plan = mix(stored(sized(docs, text))).where("taken > 0").select("doc_id", "source", "size", "taken").distinct()
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_src").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
     joined = with_row.join(plan, same).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     left = F.col("taken") - (F.col("_pass") - 1) * F.col("size")
-    body = F.col(f"_row.{text}")
+    body = F.col(f"__sheaf_row.{text}")
     cut = F.when(left >= F.col("size"), body).otherwise(F.array_join(F.slice(words(body), 1, F.greatest(left, F.lit(1)).cast("int")), " "))
     out = joined.withColumn("_text", cut)
-    return out.select(*(F.col("_text").alias(c) if c == text else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c) for c in own))
+    return out.select(*(F.col("_text").alias(c) if c == text else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(f"__sheaf_row.{c}").alias(c) for c in own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
