@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafspark.llm.common import table
+from sheafspark.llm.common import stored, table
 
 #: Words in the automaton: a top-k by count over the whole corpus.
 LEXICON = 50_000
@@ -150,16 +150,18 @@ class Vocabulary:
         self.single = [pieces[s] for s in symbols]
         self.final = [pieces[s + self.end] for s in symbols]
         pair = lambda m: m if isinstance(m, list) else m.split(" ", 1)
-        self.merges = {(pieces[a], pieces[b]): (rank, pieces[a + b]) for rank, (a, b) in enumerate(map(pair, model["merges"]))}
+        # Both sides as single numbers: left * size + right -> rank * size + merged.
+        self.size = size = max(pieces.values()) + 1
+        self.none = (len(model["merges"]) + 1) * size
+        self.merges = {pieces[a] * size + pieces[b]: rank * size + pieces[a + b] for rank, (a, b) in enumerate(map(pair, model["merges"]))}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # White space is Unicode's property; Python's own class has four control characters more.
         self.split = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.blank = regex.compile(r"\p{White_Space}+")
-        size = max([*pieces.values(), *self.added.values()]) + 1
         # Without a decoder, decoding joins the pieces as they are written by blanks.
-        self.written = [""] * size
+        self.written = [""] * (max([*pieces.values(), *self.added.values()]) + 1)
         for p, i in [*pieces.items(), *self.added.items()]:
             self.written[i] = p
 
@@ -176,27 +178,21 @@ class Vocabulary:
         return [(self.split.findall(self.normalized(p)), self.added[parts[i + 1]] if i + 1 < len(parts) else None) for i, p in enumerate(parts) if i % 2 == 0]
 
     def merge(self, word: bytes) -> list[int]:
-        """The word's pieces: the pair of lowest rank is merged first, from the left."""
+        """The word's pieces: the pair of lowest rank is merged first, the leftmost of equals; only its neighbours change."""
         ids = [self.single[b] for b in word[:-1]] + [self.final[word[-1]]]
-        merges = self.merges
-        while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best = (*m, ids[i], ids[i + 1])
-            if best is None:
+        size, none, get = self.size, self.none, self.merges.get
+        pairs = [get(a * size + b, none) for a, b in zip(ids, ids[1:])]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
-            _, to, a, b = best
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == a and ids[i + 1] == b:
-                    out.append(to)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i, to = pairs.index(best), best % size
+            ids[i : i + 2] = [to]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(ids[i - 1] * size + to, none)
+            if i < len(pairs):
+                pairs[i] = get(to * size + ids[i + 1], none)
         return ids
 
 
@@ -299,7 +295,8 @@ def word_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFra
 
 def compiled(counts: DataFrame, vocabulary: str, size: int = LEXICON) -> bytes:
     """The automaton of the size most frequent words, built on the driver: size bounds it."""
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    # Written first: a collect() would send each task's own top words to the driver.
+    top = stored(counts.orderBy(F.desc("n"), "word").limit(size).select("word")).collect()
     rules = _vocabulary(vocabulary)
     raw = [r.word.encode("utf-8", "surrogatepass") for r in top]
     return Automaton.build({w: rules.merge(w) for w in raw if w})
