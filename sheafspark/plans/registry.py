@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafspark.functions import markup as M
 from sheafspark.functions import text as T
 from sheafspark.operators import html as H
 from sheafspark.operators import layout, lines, match, score, stats, tables
@@ -202,6 +203,41 @@ def chart_series(spark, sf):
     return tables.chart_series(counts, "category", ["F", "O", "P"])
 
 
+# Markup
+
+
+@query("SELECT doc_id, array_to_string(string_split_regex(regexp_replace(text, '^[ \t\n\r]+', ''), '[ \t\n\r]+')[1:6], ' ') AS title FROM documents")
+def document_titles(spark, sf):
+    """Titles of texts without headings: their first words."""
+    return read(spark, sf, "documents").select("doc_id", M.first_words(F.col("text")).alias("title"))
+
+
+@query("SELECT n_nationkey, n_name AS label, r_name AS detail, 'note' AS alert, 'sql' AS language FROM nation JOIN region ON n_regionkey = r_regionkey")
+def markup_parts(spark, sf):
+    """Leads, alerts and fence languages written as markup and read again."""
+    rows = read(spark, sf, "nation").join(read(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lead = F.concat(F.lit("**"), "n_name", F.lit("** — "), "r_name")
+    return rows.select("n_nationkey", M.lead_label(lead).alias("label"), M.lead_detail(lead).alias("detail"), M.alert_kind(F.concat(F.lit("> [!NOTE] "), "n_name")).alias("alert"), M.fence_language(F.concat(F.lit("``` SQL "), "n_name")).alias("language"))
+
+
+@query(
+    "SELECT p_partkey, ['', 'X', 'XX', 'XXX', 'XL', 'L'][p_size // 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][p_size % 10 + 1] AS roman, "
+    "round(p_size * CASE p_partkey % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.75::DOUBLE WHEN 2 THEN 72.0::DOUBLE WHEN 3 THEN 28.346::DOUBLE END, 4) AS points FROM part"
+)
+def list_numbers_and_lengths(spark, sf):
+    unit = F.element_at(F.array(*map(F.lit, ("pt", "px", "in", "cm", "em"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return read(spark, sf, "part").select("p_partkey", M.roman(F.col("p_size")).alias("roman"), F.round(M.points(F.concat(F.col("p_size").cast("string"), unit)), 4).alias("points"))
+
+
+@query(
+    "WITH c AS (SELECT p_partkey, ('0x' || substr(h, 1, 2))::BIGINT / 255.0::DOUBLE AS r, ('0x' || substr(h, 3, 2))::BIGINT / 255.0::DOUBLE AS g, ('0x' || substr(h, 5, 2))::BIGINT / 255.0::DOUBLE AS b FROM (SELECT p_partkey, md5(p_name) AS h FROM part)) SELECT p_partkey, round("
+    + " + ".join(f"{w}::DOUBLE * CASE WHEN {c} <= 0.03928::DOUBLE THEN {c} / 12.92::DOUBLE ELSE pow(({c} + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END" for w, c in (("0.2126", "r"), ("0.7152", "g"), ("0.0722", "b")))
+    + ", 6) AS luminance FROM c"
+)
+def colour_luminance(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", F.round(M.luminance(F.md5("p_name")), 6).alias("luminance"))
+
+
 # Lines and sections
 
 
