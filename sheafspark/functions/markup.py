@@ -58,3 +58,15 @@ def luminance(colour: Column) -> Column:
         return F.when(c <= 0.03928, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, F.lit(2.4)))
 
     return 0.2126 * linear(1) + 0.7152 * linear(3) + 0.0722 * linear(5)
+
+
+def tidy(text: Column) -> Column:
+    """Blanks at line ends gone, three line ends or more as two; for text outside code."""
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+
+
+def dehyphenated(left: Column, right: Column, words: Column) -> Column:
+    """A word cut at a line end, joined: without the hyphen if it is a soft one or the words hold the whole, else with it."""
+    bare = F.regexp_replace(left, "[-\\x{00AD}]$", "")
+    whole = F.concat(bare, right)
+    return F.when(left.endswith("­") | F.array_contains(words, F.lower(whole)), whole).otherwise(F.concat(left, right))

@@ -147,3 +147,23 @@ def markdown(html: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Structure of a page as Markdown: needs a parser's state, so it runs in Python by Arrow batches."""
     for part in html:
         yield part.map(html_to_markdown)
+
+
+def filled_grid(rows: list[list[tuple[str, int, int]]], repeat: bool = False) -> list[list[str]]:
+    """Cells (text, rowspan, colspan) placed on a grid: across columns the text once, down rows once or repeated."""
+    grid: list[dict[int, str]] = []
+    for r, cells in enumerate(rows):
+        while len(grid) <= r:
+            grid.append({})
+        c = 0
+        for text, down, across in cells:
+            while c in grid[r]:
+                c += 1
+            for i in range(max(down, 1)):
+                while len(grid) <= r + i:
+                    grid.append({})
+                for j in range(max(across, 1)):
+                    grid[r + i][c + j] = text if j == 0 and (i == 0 or repeat) else ""
+            c += max(across, 1)
+    wide = max((max(g, default=-1) + 1 for g in grid), default=0)
+    return [[g.get(c, "") for c in range(wide)] for g in grid[: len(rows)]]
