@@ -7,7 +7,8 @@ fixed place would send each suffix apart, with WINDOW words of its own). Prefixe
 dropped first. A group beyond GROUP spans is split by longer prefixes, up to WINDOW words: at that length the group is
 itself a deep node of the tree, and its least document comes from an aggregate. The other groups fit in memory: their
 suffixes are sorted by doubling prefix lengths, and those that agree on WINDOW words hang below one deep internal
-node; runs of such suffixes are the repeats. Whole copies are collapsed to the smallest doc_id before all this.
+node; runs of such suffixes are the repeats. Whole copies, and then equal spans of a group, are collapsed to the
+smallest doc_id before trees are built.
 
 Null and empty texts have no words. A null doc_id ranks last. Repeated rows, and rows with one doc_id, are judged each
 by themselves against smaller doc_ids only. An empty table gives an empty result.
@@ -28,7 +29,7 @@ from sheafspark.llm.common import stored, table
 WINDOW = 50
 PREFIX = 8
 #: Most spans of a group that one task takes; a larger group is split by prefixes of full length.
-GROUP = 512
+GROUP = 8192
 #: Words a task sorts at once: whole groups, at most this many words beyond one group.
 BATCH_WORDS = 1_000_000
 LAST = (1 << 63) - 1
@@ -109,7 +110,7 @@ def _outlined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sha), pa.array(count, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc", "row", "sha", "n_words", "keys"])
 
 
-_PIECES = pa.schema([("full", pa.bool_()), ("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("body", pa.binary())])
+_PIECES = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("same", pa.int64()), ("body", pa.binary())])
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -124,34 +125,35 @@ def _unpacked(body: bytes) -> np.ndarray:
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, row, text, keys, hot): spans of text for each group that a document has suffixes in."""
+    """Rows (doc, row, text, keys): spans of text for each group that a document has suffixes in, with their hashes."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
             out: list[tuple] = []
-            for doc, row, text, keys, hot in zip(*(part.column(i).to_pylist() for i in range(5))):
+            for doc, row, text, keys in zip(*(part.column(i).to_pylist() for i in range(4))):
                 ids = word_ids(text)
                 of = prefixes(ids)
-                keys, hot = np.array(keys, np.int64).view(np.uint64), np.array(hot, bool)
-                order = np.argsort(keys)
-                keys, hot = keys[order], hot[order]
-                place = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
-                held = keys[place] == of
-                runs = np.flatnonzero(np.diff(np.r_[np.uint64(0), of]) != 0) if len(of) else []
-                runs = np.union1d(runs, [0]).astype(int)
-                whole = None
+                held = np.isin(of, np.array(keys, np.int64).view(np.uint64))
+                runs = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
                 for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(of)]):
-                    if not held[a]:
-                        continue
-                    if hot[place[a]]:
-                        whole = window_hashes(ids) if whole is None else whole
-                        out.extend((True, k, doc, row, a + i, None) for i, k in enumerate(whole[a:b].view(np.int64).tolist()))
-                    else:
-                        out.append((False, int(of[a].view(np.int64)), doc, row, a, _packed(ids[a : b + WINDOW - 1])))
+                    if held[a]:
+                        body = _packed(ids[a : b + WINDOW - 1])
+                        same = int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
+                        out.append((int(of[a].view(np.int64)), doc, row, a, same, body))
             columns = zip(*out) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PIECES)], schema=_PIECES)
 
 
+def _windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, row, start, body): the hash of each suffix's first WINDOW words."""
+    schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32())])
+    for batch in batches:
+        for doc, row, start, body in zip(*(c.to_pylist() for c in batch.columns)):
+            keys = window_hashes(_unpacked(body)).view(np.int64)
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(n, doc)), pa.array(np.full(n, row)), pa.array(np.arange(start, start + n, dtype=np.int32))], schema=schema)
+
+
 def deep_nodes(spans: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The suffix tree of the spans down to WINDOW words: for each suffix (span, place in it), its deep node.
 
@@ -242,20 +244,31 @@ def removed(docs: DataFrame, text: str = "text", texts: bool = True) -> DataFram
     whole = stored(first.select("sha", "x.doc", "x.row", "x.keys"))
 
     spread = whole.select("doc", "row", F.explode("keys").alias("key"))
-    twice = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-    twice = twice.select(F.col("key").alias("k"), (F.col("n") > GROUP).alias("hot"))
-    wanted = spread.join(twice, F.col("key") == F.col("k")).groupBy("doc", "row").agg(F.collect_list("key").alias("keys"), F.collect_list("hot").alias("hot"))
-    wanted = wanted.select(F.col("doc").alias("w_doc"), F.col("row").alias("w_row"), "keys", "hot")
+    twice = spread.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select(F.col("key").alias("k"))
+    wanted = spread.join(twice, F.col("key") == F.col("k")).groupBy("doc", "row").agg(F.collect_list("key").alias("keys"))
+    wanted = wanted.select(F.col("doc").alias("w_doc"), F.col("row").alias("w_row"), "keys")
     near = rows.join(wanted, (F.col("doc") == F.col("w_doc")) & (F.col("row") == F.col("w_row")))
-    near = stored(near.dropDuplicates(["doc", "row"]).select("doc", "row", "text", "keys", "hot"))
-
-    pieces = stored(near.mapInArrow(_pieces, "full boolean, key long, doc long, row long, start int, body binary"))
-    spans = pieces.where("not full").select("key", "doc", "row", "start", "body")
-    found = spans.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_subtrees, "doc long, row long, start int, end int")
-    full = pieces.where("full").select("key", "doc", "row", "start")
-    least = full.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(F.col("key").alias("k"), "least")
-    deep = full.join(least, F.col("key") == F.col("k")).where("doc > least").select("doc", "row", "start", (F.col("start") + 1).alias("end"))
-    ranges = found.union(deep).groupBy("doc", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    near = stored(near.dropDuplicates(["doc", "row"]).select("doc", "row", "text", "keys"))
+
+    # Equal spans first: all but those of the smallest document are repeats as a whole and go no further.
+    pieces = stored(near.mapInArrow(_pieces, "key long, doc long, row long, start int, same long, body binary"))
+    first = stored(pieces.groupBy("key", "same").agg(F.min("doc").alias("least"))).withColumnsRenamed({"key": "k", "same": "s"})
+    own = F.when(F.col("doc") == F.col("least"), F.col("body"))
+    judged = pieces.join(first, (F.col("key") == F.col("k")) & (F.col("same") == F.col("s")))
+    judged = stored(judged.select("key", "doc", "row", "start", own.alias("body"), (F.col("start") + F.length("body") / 6 - (WINDOW - 1)).cast("int").alias("end")))
+    found = judged.where("body is null").select("doc", "row", "start", "end")
+
+    spans = judged.where("body is not null").select("key", "doc", "row", "start", "body")
+    big = stored(spans.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select(F.col("key").alias("k")))
+    if not big.isEmpty():
+        full = spans.join(big, F.col("key") == F.col("k"), "left_semi").select("doc", "row", "start", "body").mapInArrow(_windows, "key long, doc long, row long, start int")
+        full = stored(full)
+        least = full.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select(F.col("key").alias("k"), "least")
+        deep = full.join(least, F.col("key") == F.col("k")).where("doc > least").select("doc", "row", "start", (F.col("start") + 1).alias("end"))
+        found = found.union(deep)
+        spans = spans.join(big, F.col("key") == F.col("k"), "left_anti")
+    found = found.union(spans.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_subtrees, "doc long, row long, start int, end int"))
+    ranges = found.groupBy("doc", "row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     ranges = ranges.select(F.col("doc").alias("r_doc"), F.col("row").alias("r_row"), "starts", "ends")
     cut = near.join(ranges, (F.col("doc") == F.col("r_doc")) & (F.col("row") == F.col("r_row"))).select("doc", "row", "text", "starts", "ends")
     left = cut.mapInArrow(_kept, "r_doc long, r_row long, removed long, left_sha string, left_text string")
