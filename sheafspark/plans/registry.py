@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sheafspark.functions import markup as M
 from sheafspark.functions import text as T
 from sheafspark.operators import html as H
-from sheafspark.operators import layout, lines, match, score, stats, tables
+from sheafspark.operators import assembly, layout, lines, match, score, stats, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -551,6 +551,90 @@ def structure_diff(spark, sf):
     return score.means(scored, ["order", "lines"])
 
 
+# Assembly
+
+
+@query(
+    "WITH r AS (SELECT l_returnflag || l_linestatus AS sheet, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) SELECT sheet, l_orderkey, l_linenumber, l_partkey, place, CAST(greatest(n - 20, 0) AS BIGINT) AS more FROM ("
+    "SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place, count(*) OVER (PARTITION BY sheet) AS n FROM r) WHERE place <= 20"
+)
+def sheet_preview(spark, sf):
+    """The first rows of a sheet a flag and status, and how many more it has."""
+    rows = read(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("sheet"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return assembly.preview(rows, "sheet", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]).drop("l_suppkey")
+
+
+@query(
+    "WITH s AS (SELECT o_orderpriority AS sheet, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT *, CAST(coalesce(sum(n + 2) OVER (ORDER BY sheet ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS title_row FROM s) "
+    "SELECT sheet, n, title_row, title_row + 1 AS first_row FROM t"
+)
+def stacked_sheets(spark, sf):
+    """Where each priority's rows stand in one sheet that holds all."""
+    return assembly.stacked(read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("sheet")).agg(F.count("*").alias("n")), "sheet", "n")
+
+
+@query(
+    "WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) % 3 + 1 AS level FROM lineitem), "
+    "g AS (SELECT *, CASE level WHEN 1 THEN 0 WHEN 2 THEN sum(CAST(level < 2 AS INT)) OVER w ELSE sum(CAST(level < 3 AS INT)) OVER w END AS grp FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    "SELECT l_orderkey, l_linenumber, l_partkey, level, row_number() OVER (PARTITION BY l_orderkey, level, grp ORDER BY l_linenumber, l_partkey, l_suppkey) AS number FROM g"
+)
+def list_numbering(spark, sf):
+    """Items of an order as a list of three levels, numbered."""
+    items = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("long") % 3 + 1).alias("level"))
+    return assembly.list_numbers(items, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], "level").drop("l_suppkey")
+
+
+@query(
+    "WITH l AS (SELECT p_brand, p_partkey, CASE WHEN p_size % 5 > 0 THEN p_type || ': ' || p_size ELSE p_name END AS line FROM part), "
+    "f AS (SELECT *, regexp_extract(line, '^([^:]{1,40}):', 1) AS label FROM l), r AS (SELECT *, sum(CAST(label = '' AS INT)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS run FROM f) "
+    "SELECT p_brand, p_partkey, label, trim(substr(line, length(label) + 2)) AS value FROM (SELECT *, count(*) OVER (PARTITION BY p_brand, run) AS n FROM r WHERE label <> '') WHERE n >= 3"
+)
+def form_rows(spark, sf):
+    """Runs of `label: value` lines among the parts of a brand."""
+    line = F.when(F.col("p_size") % 5 > 0, F.concat("p_type", F.lit(": "), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
+    return assembly.form_rows(read(spark, sf, "part").select("p_brand", "p_partkey", line.alias("line")), "p_brand", "p_partkey", "line")
+
+
+@query("SELECT doc_id, sha256(f || chr(10) || text || chr(10) || f) AS block FROM (SELECT doc_id, text, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))) AS f FROM documents)")
+def hidden_blocks(spark, sf):
+    """Each text set apart in a fence of its own."""
+    return read(spark, sf, "documents").select("doc_id", F.sha2(assembly.hidden_block(F.col("text")), 256).alias("block"))
+
+
+@query(
+    "WITH b AS (SELECT p_size AS page, p_partkey AS box, p_partkey % 100 * 10 AS x0, p_partkey % 7 * 20 AS y0 FROM part), p AS (SELECT o_custkey % 50 + 1 AS page, o_orderkey % 1000 AS x, o_orderkey % 150 AS y FROM orders) "
+    "SELECT page, box, count(*) AS points FROM b JOIN p USING (page) WHERE x >= x0 AND x < x0 + 60 AND y >= y0 AND y < y0 + 70 GROUP BY page, box"
+)
+def boxed_points(spark, sf):
+    """Points counted by the boxes that hold them."""
+    k = F.col("p_partkey")
+    boxes = read(spark, sf, "part").select(F.col("p_size").cast("long").alias("page"), k.alias("box"), (k % 100 * 10).alias("x0"), (k % 7 * 20).alias("y0"), (k % 100 * 10 + 60).alias("x1"), (k % 7 * 20 + 70).alias("y1"))
+    o = F.col("o_orderkey")
+    points = read(spark, sf, "orders").select((F.col("o_custkey") % 50 + 1).alias("page"), (o % 1000).alias("x"), (o % 150).alias("y"))
+    return assembly.in_boxes(points, boxes, "page").groupBy("page", "box").agg(F.count("*").alias("points"))
+
+
+@query(
+    "WITH s AS (SELECT p_brand, p_size, count(*) AS lines FROM part GROUP BY ALL), b AS (SELECT *, first_value(p_size) OVER (PARTITION BY p_brand ORDER BY lines DESC, p_size) AS body, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS place FROM s) "
+    "SELECT p_brand, p_size, lines, CASE WHEN p_size >= body * 1.4 THEN place END AS level FROM b"
+)
+def heading_levels(spark, sf):
+    """Levels of headings by size, parts standing for lines."""
+    return assembly.heading_levels(read(spark, sf, "part"), "p_brand", "p_size")
+
+
+@query()
+def page_contents(spark, sf):
+    """A table of contents a page."""
+    return assembly.contents(read(spark, sf, "pages").select("page_id", H.markdown("html").alias("markdown")), "page_id", "markdown")
+
+
+@query(f"SELECT doc_id, 'ltr' AS direction FROM documents WHERE regexp_matches(text, '{LTR}') AND NOT regexp_matches(text, '{RTL}')")
+def document_direction(spark, sf):
+    """Direction of each document by its first prose line with letters."""
+    return assembly.document_direction(read(spark, sf, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
