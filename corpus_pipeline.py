@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafspark.llm import bpe, mixing, quality_rules, secrets, simhash
+from sheafspark.llm import bpe, mixing, near, quality_rules, secrets
 from sheafspark.llm.common import stored, table
 
 
@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest doc_id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near-duplicates (5-word Jaccard 0.8 or more) stays, that of the smallest doc_id."""
+    return near.deduplicated(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoding_stage),
 ]
 
-#: No SQL states SimHash components or BPE; tests/llm compare the stages with brute-force versions.
+#: No SQL states near-duplicate components or BPE; tests/llm compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
