@@ -1,8 +1,9 @@
 """Operator 4: secret scans, in DataFrame functions only.
 
 Fixed-form secrets come from patterns; others from candidate strings whose windows have a high Shannon entropy for
-their character class. The entropy of a window is kept as integer micro-bits, changed by the counts of the character
-that leaves and the one that enters. Allow-listed candidates are suppressed.
+their character class: whole runs, and the values in them by their own alphabets. The entropy of a window is kept as
+integer micro-bits, changed by the counts of the character that leaves and the one that enters. Allow-listed
+candidates and parts are suppressed; a span is the whole run.
 
 Spans are in code points, end exclusive. A null text is an empty one and has no spans; repeated rows are scanned each
 by themselves; an empty table gives an empty result; result columns replace columns of the same name.
@@ -11,6 +12,7 @@ by themselves; an empty table gives an empty result; result columns replace colu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,13 @@ WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.9}
 #: Candidates that are no secrets: dates and numbers, repeated or counted characters, and words said to be examples.
 ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|your[_-]|xxxx|0{8}|1234567|abcdefg|^[0-9+/_=-]+$|^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}.*)$|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{0,4}$"
+#: A run's values are judged by themselves too: pieces between =, and their parts between / _ and -.
+#: Bits a character that all but 1 in 1,000 strings of 20 random characters of the alphabet exceed (simulated).
+PART_BITS = {"hex": 2.70, "base32": 3.14, "base36": 3.22, "base62": 3.48, "base64": 3.48}
+#: Parts of a piece that are no secrets and are left out of it: those that name an example, and a date at the start.
+ALLOWED_PART = r"(?i)^[0-9]{4}-[0-9]{2}-[0-9]{2}[t_/-]?|(?:^|(?<=[/_-]))[^/_-]*(?:example|sample|placeholder|changeme|dummy|your|xxxx|0{8}|1234567|abcdefg)[^/_-]*(?:[/_-]|$)"
+#: Hex digits in groups, such as a UUID; judged without the hyphens.
+GROUPED = "(?:[0-9a-f]{4,}(?:-[0-9a-f]{4,})+|[0-9A-F]{4,}(?:-[0-9A-F]{4,})+)"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -71,7 +80,22 @@ def _least(candidate: Column) -> Column:
     return F.when(candidate.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(most["hex"])).when(candidate.rlike("^[A-Za-z0-9]+$"), F.lit(most["alphanumeric"])).otherwise(F.lit(most["base64"]))
 
 
-def high_entropy(candidate: Column) -> Column:
+def _part_least(part: Column) -> Column:
+    """As _least, by the alphabet of a part. Joined words of one case are no alphabet and need the base64 bits of a run."""
+    most = {k: F.lit(round(WINDOW * (math.log2(WINDOW) - v) * 1e6)) for k, v in PART_BITS.items()}
+    alphabets = {"hex": "^(?:[0-9a-f]+|[0-9A-F]+)$", "base32": "^(?:[a-z2-7]+|[A-Z2-7]+)$", "base36": "^(?:[a-z0-9]+|[A-Z0-9]+)$", "base62": "^[A-Za-z0-9]+$", "base64": "^(?=.*[a-z])(?=.*[A-Z])"}
+    found = [F.when(part.rlike(p), most[k]) for k, p in alphabets.items()]
+    return F.coalesce(*found, F.lit(round(WINDOW * (math.log2(WINDOW) - LEAST_BITS["base64"]) * 1e6)))
+
+
+def _values(run: Column) -> Column:
+    """The strings of a run that may be secrets by themselves."""
+    pieces = F.transform(F.split(run, "="), lambda x: F.regexp_replace(x, ALLOWED_PART, ""))
+    grouped = lambda x: F.transform(F.regexp_extract_all(x, F.lit(GROUPED), 0), lambda g: F.replace(g, F.lit("-"), F.lit("")))
+    return F.filter(F.flatten(F.transform(pieces, lambda x: F.concat(F.array(x), F.split(x, "[/_-]"), grouped(x)))), lambda x: F.length(x) >= WINDOW)
+
+
+def high_entropy(candidate: Column, least: Callable[[Column], Column] = _least) -> Column:
     """Whether some window of the candidate reaches its class's entropy.
 
     H = log2(W) - sum(c log2 c) / W over the counts c in a window, so only the sum is carried from window to window.
@@ -94,15 +118,16 @@ def high_entropy(candidate: Column) -> Column:
         rest = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(2), F.size(chars) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(rest, start, step, lambda a: a["best"])
 
-    return bound(F.split(candidate, ""), scan) <= _least(candidate)
+    return bound(F.split(candidate, ""), scan) <= least(candidate)
 
 
 def spans(text: Column) -> dict[str, Column]:
     """For each kind, the array of spans (start, end, rank, kind) in the text."""
     body = F.coalesce(text, F.lit(""))
     long_value = lambda m: F.length(F.regexp_replace(m, ASSIGN_HEAD, "")) >= ASSIGN_CHARS
-    likely = lambda m: F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(ALLOWED), high_entropy(m)).otherwise(F.lit(False))
-    return {"assign": _spans(body, ASSIGN, "assign", long_value), "access": _spans(body, ACCESS, "access"), "hex": _spans(body, HEX, "hex"), "entropy": _spans(body, CANDIDATE, "entropy", likely)}
+    likely = lambda m, least: F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(ALLOWED), high_entropy(m, least)).otherwise(F.lit(False))
+    secret = lambda run: bound(run, lambda m: likely(m, _least) | F.exists(_values(m), lambda x: likely(x, _part_least)))
+    return {"assign": _spans(body, ASSIGN, "assign", long_value), "access": _spans(body, ACCESS, "access"), "hex": _spans(body, HEX, "hex"), "entropy": _spans(body, CANDIDATE, "entropy", secret)}
 
 
 def _joined(found: Column) -> Column:
