@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,23 @@ def bag_scores(ours: DataFrame, theirs: DataFrame, pair: list[str]) -> DataFrame
     return sums.withColumns({"recall": share(F.col("common"), F.col("n_theirs")), "f1": share(2 * F.col("common"), F.col("n_ours") + F.col("n_theirs"))})
 
 
+def sharing_runs(docs: DataFrame, items: DataFrame, n: int = 5, text: str = "text") -> DataFrame:
+    """doc_id, item_id: pairs that share n words in a row, or all words of a shorter item; words as in bag."""
+    bare = F.filter(F.transform(F.split(F.lower(text), r"[ \t\n\r]+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
+
+    def runs(rows: DataFrame, k: Column) -> DataFrame:
+        whole = rows.where(F.size("_w") >= k)
+        starts = F.sequence(F.lit(1), F.size("_w") - k + 1)
+        return whole.select(whole.columns[0], F.explode(F.transform(starts, lambda i: F.array_join(F.slice("_w", i, k), " "))).alias("run"))
+
+    known = items.select("item_id", bare.alias("_w")).where(F.size("_w") > 0).withColumn("_k", F.least(F.lit(n), F.size("_w")))
+    index = runs(known, F.col("_k")).distinct()
+    found = docs.select("doc_id", bare.alias("_w"))
+    sizes = [r[0] for r in known.select("_k").distinct().collect()]  # n values at most
+    pairs = [runs(found, F.lit(k)).join(index, "run").select("doc_id", "item_id") for k in sizes] or [docs.select("doc_id").join(items.select("item_id")).limit(0)]
+    return reduce(DataFrame.union, pairs).distinct()
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, key, distance, rank: the k rows nearest to each query by squared distance.
 

@@ -412,6 +412,27 @@ def bag_recall(spark, sf):
     return match.bag_scores(match.bag(docs, ["doc_id", "item_id"]), docs.select("doc_id", "item_id").join(items, "item_id"), ["doc_id", "item_id"])
 
 
+_RUN_WORDS = "list_filter(list_transform(string_split_regex(lower(text), '[ \t\n\r]+'), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda x: x <> '')"
+
+
+@query(
+    f"WITH i AS (SELECT *, least(5, len(w)) AS k FROM (SELECT item_id, {_RUN_WORDS} AS w FROM benchmark) WHERE len(w) > 0), d AS (SELECT doc_id, {_RUN_WORDS} AS w FROM documents), "
+    "ir AS (SELECT DISTINCT item_id, array_to_string(w[j:j + k - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM i)), "
+    "dr AS (SELECT DISTINCT doc_id, array_to_string(w[j:j + k - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM i))), "
+    "c AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)), a AS (SELECT c.doc_id, c.item_id, word, n FROM c JOIN "
+    f"({_BAG.format(k='doc_id', t='documents')}) x ON c.doc_id = x.doc_id), b AS (SELECT c.doc_id, c.item_id, word, n FROM c JOIN ({_BAG.format(k='item_id', t='benchmark')}) y ON c.item_id = y.item_id), "
+    "f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.word = b.word), "
+    "s AS (SELECT doc_id, item_id, CAST(sum(least(x, y)) AS BIGINT) AS common, CAST(sum(x) AS BIGINT) AS n_ours, CAST(sum(y) AS BIGINT) AS n_theirs FROM f GROUP BY ALL) "
+    "SELECT *, CASE WHEN n_theirs > 0 THEN round(common / n_theirs, 4) ELSE 0 END AS recall, CASE WHEN n_ours + n_theirs > 0 THEN round(2 * common / (n_ours + n_theirs), 4) ELSE 0 END AS f1 FROM s"
+)
+def bag_recall_all(spark, sf):
+    """Every document against every benchmark item it shares a run of words with: multiset recall and F1."""
+    docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
+    pairs = match.sharing_runs(docs, items)
+    ours = pairs.join(match.bag(docs.join(pairs, "doc_id", "left_semi"), ["doc_id"]), "doc_id")
+    return match.bag_scores(ours, pairs.join(match.bag(items, ["item_id"]), "item_id"), ["doc_id", "item_id"])
+
+
 @query(
     "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 4) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0) "
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) WHERE rank <= 5"
