@@ -49,6 +49,16 @@ def unseen_pair_share(docs: DataFrame, known: DataFrame, key: str = "doc_id", by
     return joined.groupBy(key).agg(F.sum("count").alias("pairs"), F.sum(F.when(F.col("_gram").isNull(), F.col("count")).otherwise(0)).alias("unseen"))
 
 
+def unseen_by_others(docs: DataFrame, key: str = "doc_id", by: str = "lang", least: int = 2) -> DataFrame:
+    """key, pairs, unseen for every text: unseen are those that the other texts of its language have less than so often."""
+    found = ngrams(letter_words(docs, [key, by]), [key, by], 2)
+    total = ngrams(letter_words(docs, [by]), [by], 2).select(F.col(by).alias("_by"), F.col("gram").alias("_gram"), F.col("count").alias("_total"))
+    # A language's letter pairs are as many as its alphabet allows, whatever the input.
+    joined = found.join(F.broadcast(total), (F.col(by) == F.col("_by")) & (F.col("gram") == F.col("_gram")))
+    sums = joined.groupBy(key).agg(F.sum("count").alias("pairs"), F.sum(F.when(F.col("_total") - F.col("count") < least, F.col("count")).otherwise(0)).alias("unseen"))
+    return docs.select(key).distinct().join(sums, key, "left").select(key, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("pairs", "unseen")))
+
+
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, letters, words, single (words of one letter), punct (signs inside words), odd (signs that are neither letter, digit nor common mark)."""
     t = F.col(text)

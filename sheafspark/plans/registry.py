@@ -336,6 +336,15 @@ def unseen_pair_share(spark, sf):
     return stats.unseen_pair_share(docs.where("doc_id % 2 = 1"), known)
 
 
+@query(
+    f"WITH p AS ({_grams(2, 'doc_id, lang')}), k AS (SELECT lang, gram, sum(count) AS total FROM p GROUP BY ALL), u AS (SELECT doc_id, sum(count) AS pairs, sum(CASE WHEN total - count < 2 THEN count ELSE 0 END) AS unseen FROM p JOIN k ON p.lang = k.lang AND p.gram = k.gram GROUP BY doc_id) "
+    "SELECT doc_id, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, CAST(coalesce(unseen, 0) AS BIGINT) AS unseen FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN u USING (doc_id)"
+)
+def unseen_pair_share_all(spark, sf):
+    """Every document, its pairs learnt from all the others."""
+    return stats.unseen_by_others(read(spark, sf, "documents"))
+
+
 @query(
     f"""WITH k AS (SELECT lang, gram FROM ({_grams(2, 'lang')}) WHERE count >= 2), p AS (SELECT p.doc_id, sum(count) AS pairs, coalesce(sum(count) FILTER (k.gram IS NULL), 0) AS unseen FROM ({_grams(2, 'doc_id, lang')}) p LEFT JOIN k ON p.lang = k.lang AND p.gram = k.gram GROUP BY p.doc_id),
 m AS (SELECT doc_id, len(regexp_extract_all(text, '\\p{{L}}')) AS letters, len(regexp_extract_all(text, '\\p{{L}}+')) AS words, len(regexp_extract_all(text, '\\p{{L}}[.,;:!?]\\p{{L}}')) AS punct, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}\\s.,;:!?''"()\\-]')) AS odd FROM documents)
