@@ -3,7 +3,8 @@
 All words of the corpus are counted; the most frequent LEXICON of them are compiled into an automaton that shares
 prefixes and suffixes. Each arc carries how many accepted words sort before it, so a word's path sums to its rank, and
 the rank leads to its ids. The automaton is one block of bytes that every worker maps into memory. Words it doesn't
-accept are merged exactly, lowest rank first. Per worker, looked-up words are kept in a dictionary of bounded size.
+accept are merged exactly, lowest rank first, in time n log n. No rule of such a file looks across white space, so a
+text is cut there first, and a stretch's ids and decoded text are kept per worker in a dictionary of bounded size.
 
 The result equals that of the tokenizers library for files of this kind (normalizer NFC, white space, lower case;
 split pattern; byte level; word end mark): added tokens in the text are found first, then each stretch between them is
@@ -14,11 +15,11 @@ an empty table gives an empty result; result columns replace columns of the same
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
 import struct
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,9 +34,14 @@ from sheafspark.llm.common import stored, table
 
 #: Words in the automaton: a top-k by count over the whole corpus.
 LEXICON = 50_000
-#: Distinct words a task counts before it hands its counts on, and a worker's dictionary of looked-up words.
-COUNTED = 200_000
+#: Distinct stretches, and characters, a task counts before it hands its counts on.
+COUNTED = 300_000
+COUNTED_CHARS = 1 << 26
+#: Stretches in a worker's dictionary, and the longest that is kept there.
 KEPT = 400_000
+KEPT_CHARS = 256
+#: Words up to so many bytes are merged by a plain scan, longer ones by a heap.
+SCANNED = 48
 
 
 def default_vocabulary() -> str:
@@ -181,6 +187,8 @@ class Vocabulary:
         """The word's pieces: the pair of lowest rank is merged first, the leftmost of equals; only its neighbours change."""
         ids = [self.single[b] for b in word[:-1]] + [self.final[word[-1]]]
         size, none, get = self.size, self.none, self.merges.get
+        if len(ids) > SCANNED:
+            return self._merged_by_heap(ids)
         pairs = [get(a * size + b, none) for a, b in zip(ids, ids[1:])]
         while pairs:
             best = min(pairs)
@@ -195,6 +203,30 @@ class Vocabulary:
                 pairs[i] = get(to * size + ids[i + 1], none)
         return ids
 
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        """As merge: pairs wait in a heap by (rank, place), pieces are linked to their neighbours; a stale pair is skipped."""
+        size, get, n = self.size, self.merges.get, len(ids)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(found, i) for i in range(n - 1) if (found := get(ids[i] * size + ids[i + 1])) is not None]
+        heapq.heapify(heap)
+
+        def offer(i: int) -> None:
+            if (found := get(ids[i] * size + ids[after[i]])) is not None:
+                heapq.heappush(heap, (found, i))
+
+        while heap:
+            found, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or get(ids[i] * size + ids[j]) != found:
+                continue
+            ids[i], ids[j], after[i] = found % size, -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [x for x in ids if x >= 0]
+
 
 def lowered(text: str) -> str:
     """Lower case letter by letter: no rule looks at a letter's neighbours, so a final capital sigma is an ordinary one."""
@@ -203,21 +235,41 @@ def lowered(text: str) -> str:
     return "σ".join(x.lower() for x in text.split("Σ"))
 
 
+#: White space to str.split() that is none to Unicode's property.
+_CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
+
+
+def chunks(text: str, blank) -> list[str]:
+    """The stretches of a text between white space; blank: the pattern of white space."""
+    if any(c in text for c in _CONTROLS):
+        return [x for x in blank.split(text) if x]
+    return text.split()
+
+
 class _Known(dict):
-    """Word -> its ids as packed 32-bit integers, looked up or merged when first asked for."""
+    """Stretch without white space -> (its ids as packed 32-bit integers, its decoded text and a blank), made when first asked for."""
 
     def __init__(self, vocabulary: Vocabulary, automaton: Automaton) -> None:
         self.vocabulary, self.automaton = vocabulary, automaton
 
-    def __missing__(self, word: str) -> bytes:
+    def ids(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
-        ids = self.automaton.lookup(raw)
-        if ids is None:
-            ids = self.vocabulary.merge(raw)
-        if len(self) >= KEPT:
-            self.clear()
-        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+        found = self.automaton.lookup(raw)
+        return self.vocabulary.merge(raw) if found is None else found
+
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+        found = []
+        for ws, after in self.vocabulary.stretches(chunk):
+            for w in ws:
+                found += self.ids(w)
+            if after is not None:
+                found.append(after)
+        made = struct.pack(f"<{len(found)}I", *found), "".join(self.vocabulary.written[i] + " " for i in found).encode("utf-8", "surrogatepass")
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[chunk] = made
+        return made
 
 
 class Coder:
@@ -226,29 +278,23 @@ class Coder:
     def __init__(self, vocabulary: Vocabulary, automaton: Automaton) -> None:
         self.vocabulary, self.known = vocabulary, _Known(vocabulary, automaton)
 
+    def both(self, text: str) -> tuple[bytes, bytes]:
+        """The ids as little-endian unsigned 32-bit integers, and the UTF-8 of what they decode to."""
+        found = list(map(self.known.__getitem__, chunks(text, self.vocabulary.blank)))
+        return b"".join([x for x, _ in found]), b"".join([x for _, x in found])[:-1]
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out = []
-        for ws, after in self.vocabulary.stretches(text):
-            out.extend(map(self.known.__getitem__, ws))
-            if after is not None:
-                out.append(struct.pack("<I", after))
-        return b"".join(out)
+        return self.both(text)[0]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.vocabulary.written.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def _mapped(block: bytes) -> mmap.mmap:
-    """The block as a memory-mapped file of this machine's temporary folder, one for all of an executor's workers."""
-    at = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:32]}.bin")
-    if not os.path.exists(at) or os.path.getsize(at) != len(block):
-        handle, part = tempfile.mkstemp(dir=tempfile.gettempdir())
-        with os.fdopen(handle, "wb") as f:
-            f.write(block)
-        os.replace(part, at)
-    with open(at, "rb") as f:
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    """The block in a memory map of its own, without a file."""
+    found = mmap.mmap(-1, len(block))
+    found[:] = block
+    return found
 
 
 _CODERS: dict[str, Coder] = {}
@@ -279,15 +325,25 @@ def word_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, counts = _vocabulary(shared.value), Counter()
-        emit = lambda: pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+        rules, counts, seen = _vocabulary(shared.value), Counter(), 0
+
+        def emit() -> pa.RecordBatch:
+            of: dict[str, int] = {}
+            for chunk, n in counts.items():
+                for ws, _ in rules.stretches(chunk):
+                    for w in ws:
+                        of[w] = of.get(w, 0) + n
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(of.keys(), pa.string()), pa.array(of.values(), pa.int64())], ["word", "n"])
+
         for batch in batches:
             for t in batch.column(0):
-                for ws, _ in rules.stretches(t.as_py() or ""):
-                    counts.update(ws)
-                if len(counts) > COUNTED:
+                body = t.as_py() or ""
+                counts.update(chunks(body, rules.blank))
+                seen += len(body)
+                if len(counts) > COUNTED or seen > COUNTED_CHARS:
                     yield emit()
-                    counts.clear()
+                    seen = 0
         yield emit()
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -321,10 +377,13 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ids: b
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                got = [coder.encode(t.as_py() or "") for t in part.column(at)]
-                sha = [hashlib.sha256(x).hexdigest() for x in got]
-                back = [hashlib.sha256(coder.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in got]
-                columns = [*part.columns, pa.array([len(x) // 4 for x in got], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                got, sha, back = [], [], []
+                for t in part.column(at):
+                    packed, written = coder.both(t.as_py() or "")
+                    got.append(packed if ids else len(packed))
+                    sha.append(hashlib.sha256(packed).hexdigest())
+                    back.append(hashlib.sha256(written).hexdigest())
+                columns = [*part.columns, pa.array([(len(x) if ids else x) // 4 for x in got], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(got, pa.binary())] * ids], names)
 
     return docs.select(*kept).mapInArrow(run, schema)

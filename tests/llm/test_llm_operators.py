@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -351,6 +352,14 @@ def test_bpe_text_rules():
         raw = coder.encode(t)
         assert raw == struct.pack(f"<{len(ids)}I", *ids), t
         assert coder.decode(raw) == library.decode(ids, skip_special_tokens=False)
+        assert coder.both(t)[1].decode() == coder.decode(raw)
+    long = "".join(np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000))
+    short = long[:3000]
+    assert rules.merge(short.encode()) == library.encode(short, add_special_tokens=False).ids
+    began = time.time()
+    assert len(rules.merge(long.encode())) > 50_000 and time.time() - began < 20
+    for t in ("aaaa" * 40, "ab" * 100, "the" * 60):
+        assert rules.merge(t.encode()) == library.encode(t, add_special_tokens=False).ids
 
 
 def test_oracles(spark, duck):
