@@ -377,14 +377,16 @@ def encoded(docs: DataFrame, path: str | None = None, text: str = "text", ids: b
         for batch in batches:
             for start in range(0, batch.num_rows, 200):
                 part = batch.slice(start, 200)
-                got, sha, back = [], [], []
+                got, n, sha, back = [], [], [], []
                 for t in part.column(at):
                     packed, written = coder.both(t.as_py() or "")
-                    got.append(packed if ids else len(packed))
+                    n.append(len(packed) // 4)
+                    if ids:
+                        got.append(packed)
                     sha.append(hashlib.sha256(packed).hexdigest())
                     back.append(hashlib.sha256(written).hexdigest())
-                columns = [*part.columns, pa.array([(len(x) if ids else x) // 4 for x in got], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(got, pa.binary())] * ids], names)
+                columns = [*part.columns, pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(got, pa.binary())] if ids else [])], names)
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -335,6 +335,7 @@ def test_bpe(docs, data, none):
         want[(d, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest(), raw)] += 1
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, bytes(r.ids)) for r in bpe.encoded(docs).collect())
     assert got == want
+    assert Counter(tuple(r) for r in bpe.encoded(docs, ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == Counter(x[:4] for x in want.elements())
     assert bpe.encoded(none).count() == 0
 
 
