@@ -38,7 +38,7 @@ LEXICON = 50_000
 COUNTED = 300_000
 COUNTED_CHARS = 1 << 26
 #: Stretches in a worker's dictionary, and the longest that is kept there.
-KEPT = 400_000
+KEPT = 300_000
 KEPT_CHARS = 256
 #: Words up to so many bytes are merged by a plain scan, longer ones by a heap.
 SCANNED = 48
@@ -122,23 +122,23 @@ class Automaton:
             found.append(memoryview(a))
         self.first, self.accepts, self.label, self.target, self.before, self.offsets, self.ids = found
 
+        self.arcs: dict[int, dict[int, tuple[int, int]]] = {}
+
+    def _node(self, node: int) -> dict[int, tuple[int, int]]:
+        """A node's arcs, byte -> (target, words before it), read from the block when first walked."""
+        lo, hi = self.first[node], self.first[node + 1]
+        self.arcs[node] = found = {self.label[i]: (self.target[i], self.before[i]) for i in range(lo, hi)}
+        return found
+
     def lookup(self, word: bytes) -> list[int] | None:
         """The ids of an accepted word; None for others."""
-        node, rank = self.root, 0
-        first, label = self.first, self.label
+        node, rank, arcs = self.root, 0, self.arcs
         for byte in word:
-            lo, hi = first[node], first[node + 1]
-            end = hi
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if label[mid] < byte:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or label[lo] != byte:
+            arc = (arcs.get(node) or self._node(node)).get(byte)
+            if arc is None:
                 return None
-            rank += self.before[lo]
-            node = self.target[lo]
+            node, before = arc
+            rank += before
         return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist() if self.accepts[node] else None
 
 
@@ -246,27 +246,53 @@ def chunks(text: str, blank) -> list[str]:
     return text.split()
 
 
+Made = tuple[bytes, bytes]
+
+
 class _Known(dict):
-    """Stretch without white space -> (its ids as packed 32-bit integers, its decoded text and a blank), made when first asked for."""
+    """Stretch without white space -> (its ids as packed 32-bit integers, its decoded text and a blank), made when first asked for.
+
+    When it is full it becomes the older half, which is asked before a stretch is made anew, and another is begun.
+    """
 
     def __init__(self, vocabulary: Vocabulary, automaton: Automaton) -> None:
-        self.vocabulary, self.automaton = vocabulary, automaton
+        self.vocabulary, self.automaton, self.older = vocabulary, automaton, {}
+        self.odd: dict[str, Made] = {}
+
+    def packed(self, ids: list[int]) -> Made:
+        return struct.pack(f"<{len(ids)}I", *ids), "".join([self.vocabulary.written[i] + " " for i in ids]).encode("utf-8", "surrogatepass")
 
-    def ids(self, word: str) -> list[int]:
+    def word(self, word: str) -> Made:
+        """Of a normalized word: from the automaton, or else merged."""
         raw = word.encode("utf-8", "surrogatepass")
         found = self.automaton.lookup(raw)
-        return self.vocabulary.merge(raw) if found is None else found
-
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes]:
+        return self.packed(self.vocabulary.merge(raw) if found is None else found)
+
+    def piece(self, word: str) -> Made:
+        if word.isascii() and word.isalpha():  # a stretch by itself
+            return self[word]
+        if word not in self.odd:
+            if len(self.odd) >= KEPT or len(word) > KEPT_CHARS:
+                self.odd.clear()
+            self.odd[word] = self.word(word)
+        return self.odd[word]
+
+    def made(self, chunk: str) -> Made:
+        if chunk.isascii() and chunk.isalpha():
+            low = chunk.lower()
+            return self.word(chunk) if low == chunk else self[low]
         found = []
         for ws, after in self.vocabulary.stretches(chunk):
-            for w in ws:
-                found += self.ids(w)
+            found += map(self.piece, ws)
             if after is not None:
-                found.append(after)
-        made = struct.pack(f"<{len(found)}I", *found), "".join(self.vocabulary.written[i] + " " for i in found).encode("utf-8", "surrogatepass")
+                found.append(self.packed([after]))
+        return found[0] if len(found) == 1 else (b"".join([x for x, _ in found]), b"".join([x for _, x in found]))
+
+    def __missing__(self, chunk: str) -> Made:
+        made = self.older.get(chunk) or self.made(chunk)
         if len(chunk) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = made
         return made
