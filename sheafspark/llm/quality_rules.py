@@ -1,7 +1,8 @@
 """Operator 9: line-first quality rules, in DataFrame functions only.
 
-Every line is judged by itself (punctuation, navigation, boilerplate); failing lines are removed; a document that
-loses too much of its text is rejected, and so is one that is too short or repeats itself.
+Every line is judged (punctuation, navigation, boilerplate); failing lines are removed; a document that loses too much
+of its text is rejected, and so is one that repeats itself or has fewer words than a parameter asks for: MIN_WORDS for
+the query's contract, 1 for `clean`, as a short document whose lines pass is no bad one.
 
 Null and empty texts have no words: all counts are 0 and the document is rejected. Repeated rows are judged each by
 themselves; an empty table gives an empty result; other columns pass through `clean` untouched, and result columns
@@ -25,33 +26,36 @@ MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Phrases of boilerplate lines; the first letter may be a capital.
+#: Phrases of boilerplate lines, found as whole words in either case.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "accept cookies", "accept all cookies", "privacy policy", "terms of use", "terms of service", "enable javascript", "lorem ipsum", "click here to", "skip to content", "powered by", "licensed under", "released under the",
 )
 #: A line over so many code points is prose even if it names a boilerplate phrase.
 BOILERPLATE_CHARS = 120
-#: A line without closing punctuation fails if it has fewer code points than this.
+#: A line without closing punctuation fails if it has fewer code points than this; `clean_text` keeps it unless it is
+#: one of OPEN_RUN or more such lines in a row, so that a title or a stray cell stays.
 OPEN_CHARS = 20
+OPEN_RUN = 3
+CLOSED = r"[.!?…:;。！？؟۔।॥】」』][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+#: A heading, list item or table row needs no closing punctuation.
+ITEM = r"^[\x20\x09]*(?:#{1,6}\x20|[-*+•]\x20|[0-9]{1,3}[.)]\x20|\|)"
 
 _MARKS = r"[|»·#*$%&<>{}~^\\!?]"
+_PHRASE = r"(?i)\b(?:" + "|".join(BOILERPLATE) + r")\b"
 
 
 def _named(text: Column) -> Column:
-    """Whether a phrase occurs, its first letter in either case."""
-    return reduce(or_, (F.contains(text, F.lit(x[1:])) for x in BOILERPLATE))
+    """Whether some phrase may occur: a cheap look at the whole text before any line is matched."""
+    return bound(F.lower(text), lambda t: reduce(or_, (F.contains(t, F.lit(x)) for x in BOILERPLATE)))
 
 
-def line_verdict(line: Column, marked: Column | None = None) -> Column:
-    """The rule a line fails: navigation, punctuation or boilerplate; null if none (lines without a word pass).
+def _open(line: Column) -> Column:
+    return (F.length(line) < OPEN_CHARS) & line.rlike(INK) & ~line.rlike(CLOSED) & ~line.rlike(ITEM)
 
-    navigation: three or more separators, at least one every 40 code points; punctuation: a symbol or more every
-    eight code points, or no closing punctuation on a line under OPEN_CHARS; boilerplate: a short line with a fixed
-    phrase. marked: whether the document has any mark at all, so that other lines need no look.
-    """
-    marked = F.lit(True) if marked is None else marked
+
+def _hard(line: Column, marked: Column, named: Column) -> Column:
+    """The rule that a line fails whatever lines are around it; marked and named: whether the document has a mark, a phrase."""
     n = F.length(line)
-    closed = line.rlike(r"[.!?…:;。！？؟۔][\"'”’»)\]]*[\x20\x09-\x0D]*$")
     marks = bound(
         F.regexp_replace(line, r"[^|»·#*$%&<>{}~^\\!?]+", ""),
         lambda m: bound(
@@ -59,14 +63,31 @@ def line_verdict(line: Column, marked: Column | None = None) -> Column:
             lambda bars: F.when((bars >= 3) & (bars * 40 >= n), F.lit("navigation")).when((F.length(m) >= 3) & ((F.length(m) - bars) * 8 >= n), F.lit("punctuation")),
         ),
     )
-    open_end = F.when((n < OPEN_CHARS) & ~closed, F.lit("punctuation"))
-    phrase = F.when((n <= BOILERPLATE_CHARS) & _named(line), F.lit("boilerplate"))
-    return F.when(line.rlike(INK), F.coalesce(F.when(marked, marks), open_end, phrase))
+    phrase = F.when(named & (n <= BOILERPLATE_CHARS) & line.rlike(_PHRASE), F.lit("boilerplate"))
+    return F.when(marked | named, F.when(line.rlike(INK), F.coalesce(F.when(marked, marks), phrase)))
+
+
+def line_verdict(line: Column) -> Column:
+    """The rule a line fails by itself: navigation, punctuation or boilerplate; null if none (lines without a word pass).
+
+    navigation: three or more separators, at least one every 40 code points; punctuation: a symbol or more every
+    eight code points, or no closing punctuation on a line under OPEN_CHARS; boilerplate: a short line with a fixed
+    phrase.
+    """
+    yes = F.lit(True)
+    return F.coalesce(_hard(line, yes, yes), F.when(_open(line), F.lit("punctuation")))
 
 
 def _good_lines(body: Column) -> Column:
-    flags = F.struct(body.rlike(_MARKS).alias("marked"), F.split(body, "\n").alias("lines"))
-    return bound(flags, lambda f: F.filter(f["lines"], lambda x: line_verdict(x, f["marked"]).isNull()))
+    flags = F.struct(body.rlike(_MARKS).alias("marked"), _named(body).alias("named"), F.split(body, "\n").alias("lines"))
+    judged = lambda f: F.transform(f["lines"], lambda x: F.struct(x.alias("x"), _hard(x, f["marked"], f["named"]).isNull().alias("good"), _open(x).alias("open")))
+
+    def kept(lines: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(lines, i)["open"], F.lit(False))
+        runs = lambda i: reduce(or_, (reduce(lambda p, q: p & q, (at(i + j + k) for k in range(OPEN_RUN))) for j in range(1 - OPEN_RUN, 1)))
+        return F.transform(F.filter(lines, lambda x, i: x["good"] & ~(x["open"] & runs(i))), lambda x: x["x"])
+
+    return bound(bound(flags, judged), kept)
 
 
 def _covered(ws: Column, n: int) -> Column:
@@ -103,7 +124,7 @@ def with_repeats(df: DataFrame, ws: str, n: int, out: str) -> DataFrame:
     return df.drop(*(f"_h{2**i}" for i in range(n.bit_length())))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept, clean_text."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(INK))
@@ -119,18 +140,46 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             }
         )
         .withColumn("lost_chars", F.col("word_chars") - inked(F.col("clean_text")))
-        .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+        .withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
         .drop("_ws")
     )
 
 
-def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", min_words: int = 1) -> DataFrame:
     """The documents kept, with failing lines removed; columns as in docs."""
     own = docs.columns
-    judged = measured(docs.select(*own, F.struct(*own).alias("__sheaf_row")), text).where("kept")
+    judged = measured(docs.select(*own, F.struct(*own).alias("__sheaf_row")), text, min_words).where("kept")
     return judged.select(*(F.col("clean_text").alias(c) if c == text else F.length("clean_text").cast("long").alias(c) if c == "n_chars" else F.col(f"__sheaf_row.{c}").alias(c) for c in own))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_PATTERN = lambda x: x.replace("'", "''")
+SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws FROM d),
+places AS (SELECT rid, ws, unnest(range(1, len(ws) - {REPEAT_WINDOW - 2})) AS i FROM w),
+found AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + {REPEAT_WINDOW - 1}], ' ')) AS n FROM places),
+repeats AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM found, range({REPEAT_WINDOW}) r(k) WHERE n > 1 GROUP BY rid),
+split AS (SELECT rid, unnest(string_split(body, chr(10))) AS x, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM d),
+marks AS (SELECT *, length(x) AS n, regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') AS ink, regexp_replace(x, '[^|»·#*$%&<>{{}}~^\\!?]+', '', 'g') AS m FROM split),
+bars AS (SELECT *, length(regexp_replace(m, '[^|»·]+', '', 'g')) AS bars FROM marks),
+judged AS (
+  SELECT *, ink <> '' AND ((bars >= 3 AND bars * 40 >= n) OR (length(m) >= 3 AND (length(m) - bars) * 8 >= n) OR (n <= {BOILERPLATE_CHARS} AND regexp_matches(x, '{_PHRASE}'))) AS bad,
+    CAST(n < {OPEN_CHARS} AND ink <> '' AND NOT regexp_matches(x, '{_PATTERN(CLOSED)}') AND NOT regexp_matches(x, '{ITEM}') AS INT) AS op FROM bars),
+near AS (
+  SELECT *, coalesce(lag(op, 2) OVER o, 0) AS a, coalesce(lag(op, 1) OVER o, 0) AS b, coalesce(lead(op, 1) OVER o, 0) AS c, coalesce(lead(op, 2) OVER o, 0) AS e
+  FROM judged WINDOW o AS (PARTITION BY rid ORDER BY i)),
+lines AS (
+  SELECT rid, count(*) FILTER (ink <> '') - count(DISTINCT x) FILTER (ink <> '') AS n_dup_lines,
+    sum(CASE WHEN bad OR op = 1 AND (a + b = 2 OR b + c = 2 OR c + e = 2) THEN length(ink) ELSE 0 END) AS lost, sum(length(ink)) AS word_chars FROM near GROUP BY rid),
+based AS (
+  SELECT w.rid, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, lost
+  FROM w JOIN lines USING (rid) LEFT JOIN repeats USING (rid)),
+failed AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM based)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= {MAX_LOST_PERCENT} * word_chars AS kept FROM failed
+"""
