@@ -1,9 +1,9 @@
 """Operator 4: secret scans, in DataFrame functions only.
 
 Fixed-form secrets come from patterns; others from candidate strings whose windows have a high Shannon entropy for
-their character class: whole runs, and the values in them by their own alphabets. The entropy of a window is kept as
-integer micro-bits, changed by the counts of the character that leaves and the one that enters. Allow-listed
-candidates and parts are suppressed; a span is the whole run.
+their character class: whole runs, and the values in them by their own alphabets. A window slides with the counts of
+its characters as state; its entropy, in integer micro-bits, changes by the counts of the character that leaves and the
+one that enters. Allow-listed candidates and parts are suppressed; a span is the whole run.
 
 Spans are in code points, end exclusive. A null text is an empty one and has no spans; repeated rows are scanned each
 by themselves; an empty table gives an empty result; result columns replace columns of the same name.
@@ -36,8 +36,11 @@ CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that a window must reach, by the candidate's class.
 LEAST_BITS = {"hex": 3.0, "alphanumeric": 3.7, "base64": 3.9}
-#: Candidates that are no secrets: dates and numbers, repeated or counted characters, and words said to be examples.
-ALLOWED = r"(?i)example|sample|placeholder|changeme|dummy|your[_-]|xxxx|0{8}|1234567|abcdefg|^[0-9+/_=-]+$|^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}.*)$|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{0,4}$"
+#: A word as names and paths have them: lower case, capitalised or capitals, joined words, or a word with a short number.
+_NAME = "(?:(?:(?:[A-Z][a-z](?=[A-Z]))?[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)+(?:[0-9]{1,4})?|[A-Za-z]|[vV][0-9]{1,4}|[0-9]{1,4}(?:st|nd|rd|th)|[0-9]{1,8})"
+#: Candidates that are no secrets: dates and numbers, repeated or counted characters, words said to be examples, and
+#: paths and slugs, whose parts between separators are all names or short numbers.
+ALLOWED = r"(?i:example|sample|placeholder|changeme|dummy|your[_-]|xxxx|0{8}|1234567|abcdefg)|^[0-9+/_=-]+$|^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}.*)$|^[/_=-]*" + _NAME + "(?:[/_=-]+" + _NAME + ")*[/_=-]*$"
 #: A run's values are judged by themselves too: pieces between =, and their parts between / _ and -.
 #: Bits a character that all but 1 in 1,000 strings of 20 random characters of the alphabet exceed (simulated).
 PART_BITS = {"hex": 2.70, "base32": 3.14, "base36": 3.22, "base62": 3.48, "base64": 3.48}
@@ -46,6 +49,35 @@ ALLOWED_PART = r"(?i)^[0-9]{4}-[0-9]{2}-[0-9]{2}[t_/-]?|(?:^|(?<=[/_-]))[^/_-]*(
 #: Hex digits in groups, such as a UUID; judged without the hyphens.
 GROUPED = "(?:[0-9a-f]{4,}(?:-[0-9a-f]{4,})+|[0-9A-F]{4,}(?:-[0-9A-F]{4,})+)"
 KINDS = ("assign", "access", "hex", "entropy")
+#: Matches whose lengths are summed together.
+BLOCK = 64
+
+
+def _started(lengths: Column) -> Column:
+    """Array of (gap, own) lengths: (start, own) of each, in two levels of prefix sums, so that many matches cost little."""
+    both = lambda a, x: a + x["gap"] + x["own"]
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+
+    def within(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), both))
+        before = bound(sums, lambda s: F.transform(s, lambda x, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), lambda a, y: a + y)))
+        inner = lambda x, base: F.transform(x, lambda y, j: F.struct((base + F.aggregate(F.slice(x, F.lit(1), j), F.lit(0), both) + y["gap"]).alias("start"), y["own"].alias("own")))
+        return bound(before, lambda bases: F.flatten(F.transform(blocks, lambda x, b: inner(x, F.get(bases, b)))))
+
+    return bound(blocks, within)
+
+
+def _ends_before(spans: Column) -> Column:
+    """The furthest end among the spans before each, 0 for the first; in two levels as in _started."""
+    most = lambda x: F.aggregate(x, F.lit(0), lambda a, y: F.greatest(a, y))
+    ends = F.transform(spans, lambda x: x["end"])
+
+    def within(ends: Column) -> Column:
+        tops = F.transform(F.sequence(F.lit(0), F.floor(F.size(ends) / BLOCK).cast("int")), lambda b: most(F.slice(ends, b * BLOCK + 1, BLOCK)))
+        before = bound(tops, lambda t: F.transform(t, lambda x, b: most(F.slice(t, F.lit(1), b))))
+        return bound(before, lambda t: F.transform(ends, lambda x, i: F.greatest(F.get(t, F.floor(i / BLOCK).cast("int")), most(F.slice(ends, i - i % BLOCK + 1, i % BLOCK)))))
+
+    return bound(ends, within)
 
 
 def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -54,16 +86,9 @@ def _spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     rank = KINDS.index(kind)
 
     def placed(found: Column, gaps: Column) -> Column:
-        step = lambda a, i: bound(
-            a["at"] + F.length(F.element_at(gaps, i)),
-            lambda start: F.struct(
-                (start + F.length(F.element_at(found, i))).cast("int").alias("at"),
-                F.concat(a["spans"], F.array(F.struct(start.cast("int").alias("start"), (start + F.length(F.element_at(found, i))).cast("int").alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))).alias("spans"),
-            ),
-        )
-        first = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        placed = F.aggregate(F.sequence(F.lit(1), F.size(found)), first, step, lambda a: a["spans"])
-        return placed if keep is None else bound(placed, lambda s: F.array_compact(F.transform(s, lambda x, i: F.when(keep(F.element_at(found, i + 1)), x))))
+        lengths = F.transform(found, lambda x, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(x).alias("own")))
+        spans = bound(bound(lengths, _started), lambda at: F.transform(at, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["own"]).alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))))
+        return spans if keep is None else bound(spans, lambda s: F.array_compact(F.transform(s, lambda x, i: F.when(keep(F.get(found, i)), x))))
 
     found = lambda: F.regexp_extract_all(text, F.lit(pattern), 0)
     return F.when(text.rlike(pattern), bound(F.struct(found().alias("found"), F.split(text, pattern, -1).alias("gaps")), lambda m: placed(m["found"], m["gaps"]))).otherwise(empty)
@@ -98,27 +123,33 @@ def _values(run: Column) -> Column:
 def high_entropy(candidate: Column, least: Callable[[Column], Column] = _least) -> Column:
     """Whether some window of the candidate reaches its class's entropy.
 
-    H = log2(W) - sum(c log2 c) / W over the counts c in a window, so only the sum is carried from window to window.
+    H = log2(W) - sum(c log2 c) / W over the counts c in a window. The state holds the count of each character of the
+    candidate's own alphabet in the window, and the sum; a step takes one from the count of the character that leaves,
+    adds one to that of the character that enters, and changes the sum by these two counts alone.
     """
 
-    def scan(chars: Column) -> Column:
-        count = lambda start, c: F.size(F.filter(F.slice(chars, start, WINDOW), lambda x: x == c))
-        whole = lambda start: F.aggregate(F.array_distinct(F.slice(chars, start, WINDOW)), F.lit(0), lambda s, c: (s + _micro(count(start, c))).cast("int"))
+    def scan(places: Column, size: Column) -> Column:
+        # places: each character as its place in the alphabet; size: how many characters that has.
+        counted = F.transform(F.sequence(F.lit(0), size - 1), lambda c: F.size(F.filter(F.slice(places, 1, WINDOW), lambda x: x == c)))
+        total = lambda counts: F.aggregate(counts, F.lit(0), lambda s, c: (s + _micro(c)).cast("int"))
+        start = bound(counted, lambda n: bound(total(n), lambda s: F.struct(n.alias("counts"), s.alias("sum"), s.alias("best"))))
 
         def step(state: Column, i: Column) -> Column:
-            # Window i - 1 loses its first character and gains the one after its last.
-            old, new = F.element_at(chars, i - 1), F.element_at(chars, i + WINDOW - 1)
-            changed = bound(
-                F.struct(count(i - 1, old).alias("old"), (count(i - 1, new) - F.when(old == new, 1).otherwise(0)).alias("new")),
-                lambda n: state["sum"] - _micro(n["old"]) + _micro(n["old"] - 1) - _micro(n["new"]) + _micro(n["new"] + 1),
-            )
-            return bound(changed.cast("int"), lambda s: F.struct(s.alias("sum"), F.least(state["best"], s).alias("best")))
-
-        start = bound(whole(F.lit(1)), lambda s: F.struct(s.alias("sum"), s.alias("best")))
-        rest = F.when(F.size(chars) > WINDOW, F.sequence(F.lit(2), F.size(chars) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+            # The window that begins at i has lost the character at i - 1 and gained the one at i + WINDOW - 1.
+            def moved(old: Column, new: Column) -> Column:
+                counts = F.transform(state["counts"], lambda c, k: c - F.when(k == old, 1).otherwise(0) + F.when(k == new, 1).otherwise(0))
+                n_old, n_new = F.get(state["counts"], old), F.get(state["counts"], new)
+                change = F.when(old == new, 0).otherwise(_micro(n_old - 1) - _micro(n_old) + _micro(n_new + 1) - _micro(n_new))
+                return bound((state["sum"] + change).cast("int"), lambda s: F.struct(counts.alias("counts"), s.alias("sum"), F.least(state["best"], s).alias("best")))
+
+            return bound(F.struct(F.element_at(places, i - 1).alias("old"), F.element_at(places, i + WINDOW - 1).alias("new")), lambda x: moved(x["old"], x["new"]))
+
+        rest = F.when(F.size(places) > WINDOW, F.sequence(F.lit(2), F.size(places) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
         return F.aggregate(rest, start, step, lambda a: a["best"])
 
-    return bound(F.split(candidate, ""), scan) <= least(candidate)
+    placed = lambda chars, alphabet: F.struct(F.transform(chars, lambda c: (F.array_position(alphabet, c) - 1).cast("int")).alias("places"), F.size(alphabet).alias("size"))
+    best = bound(F.split(candidate, ""), lambda chars: bound(F.array_distinct(chars), lambda alphabet: bound(placed(chars, alphabet), lambda x: scan(x["places"], x["size"]))))
+    return best <= least(candidate)
 
 
 def spans(text: Column) -> dict[str, Column]:
@@ -147,12 +178,10 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Dat
     own = docs.columns
     df = scanned(docs.select(*own, F.struct(*own).alias("__sheaf_row")), text)
     body = F.coalesce(F.col(text), F.lit(""))
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(
-        x["start"] >= a["at"],
-        F.struct(x["end"].alias("at"), F.concat(a["out"], F.substring(body, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out")),
-    ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-    cleaned = F.when(F.size("spans_found") == 0, F.col(text)).otherwise(F.aggregate("spans_found", first, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body)))))
+    piece = lambda x, end: F.when(x["start"] >= end, F.concat(F.substring(body, end + 1, x["start"] - end), F.lit(mark))).otherwise(F.lit(""))
+    pieces = lambda s: bound(_ends_before(s), lambda ends: F.transform(s, lambda x, i: piece(x, F.get(ends, i))))
+    tail = F.substring(body, F.array_max(F.transform("spans_found", lambda x: x["end"])) + 1, F.length(body))
+    cleaned = F.when(F.size("spans_found") == 0, F.col(text)).otherwise(F.concat(F.array_join(pieces(F.col("spans_found")), ""), tail))
     df = df.withColumn("_text", cleaned)
     return df.select(*(F.col("_text").alias(c) if c == text else F.when(F.size("spans_found") == 0, F.col(f"__sheaf_row.{c}")).otherwise(F.length("_text")).cast("long").alias(c) if c == "n_chars" else F.col(f"__sheaf_row.{c}").alias(c) for c in own))
 
