@@ -11,7 +11,8 @@ large-star and small-star rounds.
 
 Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows have one fingerprint and come
 back each. A null doc_id takes part but is no component's id unless it has no other. An empty table gives an empty
-result. Other columns pass through `deduplicated` untouched.
+result. Other columns pass through `deduplicated` untouched. near.py has the same index over longer fingerprints of
+5-word shingles with an exact check, for near-duplicates by similarity.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafspark.llm.common import stored, table
@@ -59,17 +60,15 @@ def shingle_hashes(text: bytes | None, n: int = SHINGLE) -> list[int]:
     return [h(joined[a:b], seed) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist())]
 
 
-def majority(hashes: list[list[int]]) -> np.ndarray:
-    """For each list, the bits set in over half of it; 0 for an empty one.
+def majority(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of sizes[i] hashes in flat, the bits set in over half of it; 0 for an empty one.
 
     Eight one-bit lanes of a word are summed at once over runs of 255 hashes at most, so no lane overflows.
     """
-    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros(len(hashes), np.uint64)
+    out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
-    flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
     sizes = sizes[full]
     runs = -(-sizes // 255)
     first_run = np.cumsum(runs) - runs
@@ -85,18 +84,20 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long) and, if named, the column row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 hashes = [shingle_hashes(x, shingle) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(majority(hashes).view(np.int64))], ["doc_id", "fp"])
+                sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+                flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(sizes.sum()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(majority(flat, sizes).view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *["row"] * bool(row)])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *([F.col(row).alias("row")] if row else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", row long" * bool(row))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -107,6 +108,11 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(fps: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The places of fingerprints (a word or a row of words each) by group, then by Gray rank."""
+    return np.lexsort((*(gray_rank(w) for w in fps.reshape(len(fps), -1).T[::-1]), group))
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0] .. starts[0] + sizes[0] - 1, starts[1] .. and so on."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -115,21 +121,21 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def near_pairs(fps: np.ndarray, group: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fps in index order, i, j): the pairs i < j of one group that differ in at most so many bits.
 
-    group: non-negative numbers; fps of a group are distinct.
+    group: non-negative numbers. fps: a word each, or a row of words whose differences are accumulated.
     """
-    order = np.lexsort((gray_rank(fps), group))
-    fps, group = fps[order], group[order]
+    wide, order = fps.reshape(len(fps), -1), gray_order(fps, group)
+    fps, wide, group = fps[order], wide[order], group[order]
     new = np.r_[True, group[1:] != group[:-1]]
     gid = np.cumsum(new) - 1
     place = np.arange(len(fps)) - np.flatnonzero(new)[gid]
     # Levels from the leaves up: each node's shared bits, which bits those are, first child, number of children, group.
     zero = np.uint64(0)
-    levels = [(fps, np.full(len(fps), ~zero), np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64))]
+    levels = [(wide, np.full(wide.shape, ~zero), np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int64))]
     while place.max(initial=0) > 0:
         parent = place // FANOUT
         starts = np.flatnonzero(np.r_[True, (parent[1:] != parent[:-1]) | (gid[1:] != gid[:-1])])
         bits_of, mask_of = levels[-1][:2]
-        ones, zeros = np.bitwise_and.reduceat(bits_of & mask_of, starts), np.bitwise_and.reduceat(~bits_of & mask_of, starts)
+        ones, zeros = np.bitwise_and.reduceat(bits_of & mask_of, starts, axis=0), np.bitwise_and.reduceat(~bits_of & mask_of, starts, axis=0)
         levels.append((ones, ones | zeros, starts, np.diff(np.r_[starts, len(parent)])))
         place, gid = parent[starts], gid[starts]
     a = b = np.arange(len(levels[-1][0]))
@@ -142,16 +148,15 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, bits: int = BITS) -> tuple[np
         begin = np.where(other == own, left, first[other])
         sizes = first[other] + n[other] - begin
         a, b = np.repeat(left, sizes), _ranges(begin, sizes)
-        near = np.bitwise_count((below[a] ^ below[b]) & mask[a] & mask[b]) <= bits
+        near = sum(np.bitwise_count((below[a, w] ^ below[b, w]) & mask[a, w] & mask[b, w]).astype(np.int16) for w in range(below.shape[1])) <= bits
         a, b = a[near], b[near]
     apart = a != b
     return fps, a[apart], b[apart]
 
 
-def star_links(fps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the fingerprints of each group as near_pairs does: each to the least of its component."""
-    fps, a, b = near_pairs(fps, group)
-    root = np.arange(len(fps))
+def least_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the least one that links (a, b) lead to."""
+    root = np.arange(n)
     while True:
         low = np.minimum(root[a], root[b])
         before = root.copy()
@@ -161,7 +166,13 @@ def star_links(fps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
         np.minimum.at(root, before[b], low)
         root = root[root]
         if (root == before).all():
-            break
+            return root
+
+
+def star_links(fps: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the fingerprints of each group as near_pairs does: each to the least of its component."""
+    fps, a, b = near_pairs(fps, group)
+    root = least_of(len(fps), a, b)
     linked = np.flatnonzero(root != np.arange(len(fps)))
     return fps[linked], fps[root[linked]]
 
@@ -272,15 +283,33 @@ def clustered(fps: DataFrame) -> DataFrame:
     return fps.join(of, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, of: DataFrame, text: str) -> DataFrame:
+    """The rows of docs that are the first of their class; of: doc_id, row (hash of the text) and class, a row a document.
+
+    First is the smallest doc_id, a null one after all others, then the smallest row. Rows that agree in both come back once.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("row").alias("row"))
+    keep = of.groupBy("class").agg(F.min(rank).alias("x")).select(F.col("x.none").alias("__k_none"), F.col("x.id").alias("__k_id"), F.col("x.row").alias("__k_row"))
+    own = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__row": row_hash(text)}
+    rows = docs.withColumns(own).join(keep, (F.col("__none") == F.col("__k_none")) & (F.col("__id") == F.col("__k_id")) & (F.col("__row") == F.col("__k_row")), "left_semi")
+    return rows.dropDuplicates(list(own)).drop(*own)
+
+
+def row_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component; columns as in docs.
+    """docs with one document, that of the smallest doc_id, of each component of the query's links; columns as in docs.
 
-    Documents with a null doc_id stay: there is nothing to choose by.
+    Documents with one doc_id are told apart by their texts. A null doc_id stays only if its component has no other.
     """
-    of = clustered(stored(fingerprints(docs, text)))
-    keep = of.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    first = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = docs.select("doc_id", row_hash(text).alias("__row"), text)
+    of = stored(fingerprints(rows, text, row="__row"))
+    reps = of.groupBy("fp").agg(F.count("*").alias("n"))
+    roots = components(links(reps.select("fp")))
+    placed = of.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "row", F.coalesce("root", "fp").alias("class"))
+    return one_of_each(docs, placed, text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
