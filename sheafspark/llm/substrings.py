@@ -274,17 +274,19 @@ def removed(docs: DataFrame, text: str = "text", texts: bool = True) -> DataFram
     left = cut.mapInArrow(_kept, "r_doc long, r_row long, removed long, left_sha string, left_text string")
     left = stored(left if texts else left.drop("left_text"))
 
-    owner = whole.select(F.col("sha").alias("o_sha"), F.col("doc").alias("owner"))
+    # Rows of one doc_id with the same words are judged alike, whatever white space is between the words.
+    owner = whole.join(left, (F.col("doc") == F.col("r_doc")) & (F.col("row") == F.col("r_row")), "left").drop("keys", "r_doc", "r_row", "row")
+    owner = owner.withColumnsRenamed({"sha": "o_sha", "doc": "owner"})
     out = outline.drop("keys").join(owner, F.col("sha") == F.col("o_sha"))
-    out = out.join(left, (F.col("doc") == F.col("r_doc")) & (F.col("row") == F.col("r_row")), "left")
+    own = F.col("doc") == F.col("owner")
     copy = (F.col("owner") < F.col("doc")) & (F.col("n_words") >= WINDOW)
     found = [
         F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"),
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce(F.when(own, F.col("removed")), F.lit(0))).alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.when(own, F.col("left_sha")), "sha")).alias("kept_sha256"),
     ]
-    return out.select(*found, *([F.when(copy, F.lit("")).otherwise(F.col("left_text")).alias("kept_text")] if texts else []))
+    return out.select(*found, *([F.when(copy, F.lit("")).otherwise(F.when(own, F.col("left_text"))).alias("kept_text")] if texts else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,6 +228,24 @@ def test_substrings(docs, data, none, monkeypatch):
     assert sum(n for (_, _, n, _), _ in want.items()) > 0
 
 
+def test_substrings_of_one_id(spark):
+    """Rows of one doc_id with the same words and other white space: each loses the passage of the smaller doc_id."""
+    words = [f"p{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, "a " + " ".join(words) + " z"), (2, "a  " + "  ".join(words) + "  z"), (2, "other")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(1, 60, 0), (2, 62, 60), (2, 62, 60), (2, 1, 0)])
+
+
+def test_deduplicated_by_row(spark):
+    """Rows of one doc_id with unlike texts are rows of their own; null ids give way to others."""
+    a, b = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    df = spark.createDataFrame([(1, a), (3, a), (3, b), (None, b), (None, "only"), (None, "only")], "doc_id long, text string")
+    from sheafspark.llm import near
+
+    for kept in (simhash.deduplicated(df), near.deduplicated(df)):
+        assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (3, b), (None, "only")])
+
+
 def test_warc(spark):
     pages = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>" + "a" * 200, None, "", "<p>" + "a" * 200, "short", "short", "é" * 60, "<p>" + "a" * 200, "b" * 300_000])]
     pages += [(None, None, "<p>" + "a" * 200), (0, "http://x/0", "<p>" + "a" * 200)]
