@@ -108,9 +108,13 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _wide(fps: np.ndarray) -> np.ndarray:
+    return fps if fps.ndim > 1 else fps[:, None]
+
+
 def gray_order(fps: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The places of fingerprints (a word or a row of words each) by group, then by Gray rank."""
-    return np.lexsort((*(gray_rank(w) for w in fps.reshape(len(fps), -1).T[::-1]), group))
+    return np.lexsort((*(gray_rank(w) for w in _wide(fps).T[::-1]), group))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def near_pairs(fps: np.ndarray, group: np.ndarray, bits: int = BITS) -> tuple[np
 
     group: non-negative numbers. fps: a word each, or a row of words whose differences are accumulated.
     """
-    wide, order = fps.reshape(len(fps), -1), gray_order(fps, group)
+    wide, order = _wide(fps), gray_order(fps, group)
     fps, wide, group = fps[order], wide[order], group[order]
     new = np.r_[True, group[1:] != group[:-1]]
     gid = np.cumsum(new) - 1
