@@ -12,8 +12,8 @@ URDU_KURDISH = "[ٹڈڑےۆێڕڵ]"
 RTL = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}]"
 LTR = r"[A-Za-z\x{00AA}\x{00B5}\x{00BA}\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{02B8}\x{0370}-\x{058F}]"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "©", "&amp;": "&"}
-#: Width of a character by its class, in parts of an average lower-case letter.
-WIDTHS = (("[A-Z]", 1.15), ("[mw]", 1.35), (r"[iljftr.,;:'|!]", 0.5), (r"[0-9]", 1.0), (r"[ ]", 0.45), (RTL, 0.8))
+#: Width of a character by its class, in parts of an average digit.
+WIDTHS = (("[A-Z]", 1.15), ("[mw]", 1.35), (r"[ijlft.,;:'|!]", 0.5), ("[0-9۰-۹٠-٩]", 1.0), (r"[ ]", 0.45), (RTL, 0.8))
 WIDTH_OF_OTHERS = 0.9
 
 

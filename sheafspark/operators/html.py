@@ -45,17 +45,11 @@ def is_rich(html: Column) -> Column:
     return html.rlike(RICH) | html.rlike(r'class="?Mso|urn:schemas-microsoft-com:office')
 
 
-def sanitized(html: Column) -> Column:
-    """Without scripts, styles, frames, event attributes and script addresses."""
-    t = F.regexp_replace(without_scripts(html), r"(?is)<(iframe|object|embed|form)[^>]*>.*?</(iframe|object|embed|form)>", "")
-    t = F.regexp_replace(t, r"(?i) on[a-z]+=(\"[^\"]*\"|'[^']*'|[^ >]*)", "")
-    return F.regexp_replace(t, r"(?i)(href|src)=(\"|')[ ]*javascript:[^\"']*(\"|')", "$1=$2#$3")
-
-
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, place (from 1), href, label of each link."""
-    found = F.regexp_extract_all(html, F.lit(r'(?is)<a [^>]*?href="([^"]*)"[^>]*>.*?</a>'), 1)
-    labels = F.regexp_extract_all(html, F.lit(r'(?is)<a [^>]*?href="[^"]*"[^>]*>(.*?)</a>'), 1)
+    """key, place (from 1), href, label of each link, however its address is quoted."""
+    tag = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<=[\s"'])href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)(?:[^>"']|"[^"]*"|'[^']*')*>(.*?)</a\s*>"""
+    found = F.transform(F.regexp_extract_all(html, F.lit(tag), 1), lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
+    labels = F.regexp_extract_all(html, F.lit(tag), 2)
     rows = pages.select(key, F.posexplode(F.arrays_zip(found.alias("href"), labels.alias("label"))).alias("i", "x"))
     label = F.btrim(F.regexp_replace(decode_entities(F.regexp_replace("x.label", r"<[^>]*>", " ")), r"[ \t\n\r]+", " "))
     return rows.select(key, (F.col("i") + 1).cast("long").alias("place"), F.col("x.href").alias("href"), label.alias("label"))

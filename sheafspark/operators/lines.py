@@ -64,8 +64,10 @@ def furniture(docs: DataFrame, group: str = "source", key: str = "doc_id", text:
 
 def csv_like(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, separator: a text of two records or more, each with as many of one separator; tab, then comma, then ;."""
-    lines = docs.select(key, F.explode(F.slice(F.split(text, "\n"), 1, 50)).alias("line")).where(~F.col("line").rlike(r"^[ \t]*$"))
-    bare = F.regexp_replace("line", '"[^"]*"', "")
+    # A quoted field is one letter, so that neither its separators nor its line ends count.
+    plain = F.regexp_replace(text, '"[^"]*"', "q")
+    lines = docs.select(key, F.explode(F.slice(F.split(plain, "\n"), 1, 50)).alias("line")).where(~F.col("line").rlike(r"^[ \t]*$"))
+    bare = F.col("line")
     found = None
     for sep in ("\t", ",", ";"):
         n = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))

@@ -97,8 +97,12 @@ def gate(run: DataFrame, baseline: DataFrame, key: str, score: str, tolerance: C
 
 
 def close_names(rows: DataFrame, key: str, name: str, most: int = 2) -> DataFrame:
-    """a, b, distance: names of one first letter within an edit distance, each pair once."""
-    a = rows.select(F.col(key).alias("a"), F.col(name).alias("_x"), F.substring(name, 1, 1).alias("_f"))
-    b = rows.select(F.col(key).alias("b"), F.col(name).alias("_y"), F.substring(name, 1, 1).alias("_g"))
-    d = F.levenshtein("_x", "_y")
-    return a.join(b, (F.col("_f") == F.col("_g")) & (F.col("a") < F.col("b"))).where(d <= most).select("a", "b", d.alias("distance"))
+    """a, b, distance: names within an edit distance, each pair once.
+
+    Names that close differ in length by that distance at most, so they are joined on the length; the distance is only
+    computed up to the limit.
+    """
+    a = rows.select(F.col(key).alias("a"), F.col(name).alias("_x"), F.explode(F.sequence(F.length(name) - most, F.length(name) + most)).alias("_m"))
+    b = rows.select(F.col(key).alias("b"), F.col(name).alias("_y"), F.length(name).alias("_n"))
+    found = a.join(b, (F.col("_m") == F.col("_n")) & (F.col("a") < F.col("b"))).withColumn("distance", F.levenshtein("_x", "_y", most))
+    return found.where("distance >= 0").select("a", "b", "distance")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sheafspark.functions import markup as M
 from sheafspark.functions import text as T
 from sheafspark.operators import html as H
-from sheafspark.operators import assembly, layout, lines, match, score, stats, tables
+from sheafspark.functions import values as V
+from sheafspark.operators import assembly, layout, lines, match, reports, sanitize, score, stats, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,7 +143,7 @@ def unique_names(spark, sf):
     return tables.unique_names(rows, "name", "o_orderkey").select("o_orderkey", F.col("unique").alias("unique_name"))
 
 
-_WIDTH = "round(1.15 * len(regexp_extract_all(v, '[A-Z]')) + 1.35 * len(regexp_extract_all(v, '[mw]')) + 0.5 * len(regexp_extract_all(v, '[iljftr.,;:''|!]')) + 1.0 * len(regexp_extract_all(v, '[0-9]')) + 0.45 * len(regexp_extract_all(v, ' ')) + 0.9 * len(regexp_extract_all(v, '[^A-Zmwiljftr.,;:''|!0-9 ]')), 6)"
+_WIDTH = "round(1.15 * len(regexp_extract_all(v, '[A-Z]')) + 1.35 * len(regexp_extract_all(v, '[mw]')) + 0.5 * len(regexp_extract_all(v, '[iljft.,;:''|!]')) + 1.0 * len(regexp_extract_all(v, '[0-9]')) + 0.45 * len(regexp_extract_all(v, ' ')) + 0.9 * len(regexp_extract_all(v, '[^A-Zmwijlft.,;:''|!0-9 ]')), 6)"
 
 
 @query(
@@ -296,7 +297,7 @@ def slide_check(spark, sf):
 
 
 @query(
-    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))[1:50]) AS line FROM documents), n AS (SELECT doc_id, line, regexp_replace(line, '\"[^\"]*\"', '', 'g') AS b FROM l WHERE NOT regexp_matches(line, '^[ \t]*$')) SELECT doc_id, CASE "
+    "WITH n AS (SELECT doc_id, b AS line, b FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\"[^\"]*\"', 'q', 'g'), chr(10))[1:50]) AS b FROM documents) WHERE NOT regexp_matches(b, '^[ \t]*$')) SELECT doc_id, CASE "
     + " ".join(f"WHEN min(length(b) - length(replace(b, {s}, ''))) = max(length(b) - length(replace(b, {s}, ''))) AND min(length(b) - length(replace(b, {s}, ''))) >= 1 AND count(*) >= 2 AND NOT bool_or(regexp_matches(line, '^[ \t]*\\|')) THEN {s}" for s in ("chr(9)", "','", "';'"))
     + " END AS separator FROM n GROUP BY doc_id"
 )
@@ -325,17 +326,6 @@ def char_ngrams(spark, sf):
     return stats.language_model(read(spark, sf, "documents"))
 
 
-@query(
-    f"WITH k AS (SELECT lang, gram FROM ({_grams(2, 'lang, doc_id')}) WHERE doc_id % 2 = 0 GROUP BY lang, gram HAVING sum(count) >= 2), p AS ({_grams(2, 'doc_id, lang')}) "
-    "SELECT doc_id, CAST(sum(count) AS BIGINT) AS pairs, CAST(coalesce(sum(count) FILTER (k.gram IS NULL), 0) AS BIGINT) AS unseen FROM p LEFT JOIN k ON p.lang = k.lang AND p.gram = k.gram WHERE doc_id % 2 = 1 GROUP BY doc_id"
-)
-def unseen_pair_share(spark, sf):
-    """Pairs learnt from the even documents, unseen ones counted in the odd."""
-    docs = read(spark, sf, "documents")
-    known = stats.letter_pairs(docs.where("doc_id % 2 = 0"))
-    return stats.unseen_pair_share(docs.where("doc_id % 2 = 1"), known)
-
-
 @query(
     f"WITH p AS ({_grams(2, 'doc_id, lang')}), k AS (SELECT lang, gram, sum(count) AS total FROM p GROUP BY ALL), u AS (SELECT doc_id, sum(count) AS pairs, sum(CASE WHEN total - count < 2 THEN count ELSE 0 END) AS unseen FROM p JOIN k ON p.lang = k.lang AND p.gram = k.gram GROUP BY doc_id) "
     "SELECT doc_id, CAST(coalesce(pairs, 0) AS BIGINT) AS pairs, CAST(coalesce(unseen, 0) AS BIGINT) AS unseen FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN u USING (doc_id)"
@@ -408,19 +398,6 @@ def report_summary(spark, sf):
 _BAG = "SELECT {k}, word, count(*) AS n FROM (SELECT {k}, regexp_replace(unnest(string_split_regex(lower(text), '[ \t\n\r]+')), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g') AS word FROM {t}) WHERE word <> '' GROUP BY ALL"
 
 
-@query(
-    f"WITH a AS (SELECT doc_id, doc_id % 40 AS item_id, word, n FROM ({_BAG.format(k='doc_id', t='documents')})), b AS (SELECT d.doc_id, i.item_id, word, n FROM (SELECT doc_id, doc_id % 40 AS item_id FROM documents) d JOIN ({_BAG.format(k='item_id', t='benchmark')}) i ON d.item_id = i.item_id), "
-    "f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.word = b.word), "
-    "s AS (SELECT doc_id, item_id, CAST(sum(least(x, y)) AS BIGINT) AS common, CAST(sum(x) AS BIGINT) AS n_ours, CAST(sum(y) AS BIGINT) AS n_theirs FROM f GROUP BY ALL) "
-    "SELECT *, CASE WHEN n_theirs > 0 THEN round(common / n_theirs, 4) ELSE 0 END AS recall, CASE WHEN n_ours + n_theirs > 0 THEN round(2 * common / (n_ours + n_theirs), 4) ELSE 0 END AS f1 FROM s"
-)
-def bag_recall(spark, sf):
-    """Each document against the benchmark item of its number: multiset recall and F1."""
-    docs = read(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), "text")
-    items = match.bag(read(spark, sf, "benchmark"), ["item_id"])
-    return match.bag_scores(match.bag(docs, ["doc_id", "item_id"]), docs.select("doc_id", "item_id").join(items, "item_id"), ["doc_id", "item_id"])
-
-
 _RUN_WORDS = "list_filter(list_transform(string_split_regex(lower(text), '[ \t\n\r]+'), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda x: x <> '')"
 
 
@@ -486,7 +463,7 @@ def baseline_gate(spark, sf):
     return match.gate(mean(rows.where("l_linenumber <= 3")), mean(rows.where("l_linenumber > 3")), "k", "s", F.lit(0.5))
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b ON a.n_name[1] = b.n_name[1] AND a.n_nationkey < b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 5")
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE levenshtein(a.n_name, b.n_name) <= 5")
 def close_names(spark, sf):
     return match.close_names(read(spark, sf, "nation"), "n_nationkey", "n_name", 5)
 
@@ -507,6 +484,100 @@ def natural_order(spark, sf):
     return rows.select("p_partkey", F.row_number().over(Window.orderBy(*T.natural_key(F.col("n")), "p_partkey")).cast("long").alias("place"))
 
 
+# Values, reports and sheets
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS number FROM orders")
+def cell_numbers(spark, sf):
+    """Totals with group marks, in Persian digits, as numbers."""
+    shown = F.translate(F.format_number(F.col("o_totalprice"), 2), "0123456789.,", "۰۱۲۳۴۵۶۷۸۹٫٬")
+    return read(spark, sf, "orders").select("o_orderkey", V.cell_number(F.concat(shown, F.lit(" ٪"))).alias("number"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' +03:30' AS pdf, strftime(o_orderdate, '%Y-%m-%d %H:%M') || ' UTC' AS iso, strftime(o_orderdate, '%Y-%m') AS part FROM orders")
+def date_texts(spark, sf):
+    """Dates as PDF and ISO write them, laid out."""
+    d = lambda f: F.date_format("o_orderdate", f)
+    pdf = F.concat(F.lit("D:"), d("yyyyMMddHHmmss"), F.lit("+03'30'"))
+    return read(spark, sf, "orders").select("o_orderkey", V.date_text(pdf).alias("pdf"), V.date_text(F.concat(d("yyyy-MM-dd'T'HH:mm"), F.lit("Z"))).alias("iso"), V.date_text(F.concat(F.lit("D:"), d("yyyyMM"))).alias("part"))
+
+
+@query(
+    "SELECT p_partkey, w || ' × ' || h || ' mm' || CASE "
+    + " ".join(f"WHEN abs(least(w, h) - {a}) <= 2 AND abs(greatest(w, h) - {b}) <= 2 THEN ' ({n})'" for n, a, b in V.PAPER)
+    + " ELSE '' END AS page_size FROM (SELECT p_partkey, CAST(floor((580 + p_size) * 25.4 / 72 + 0.5) AS BIGINT) AS w, CAST(floor((790 + p_size * 2.0) * 25.4 / 72 + 0.5) AS BIGINT) AS h FROM part)"
+)
+def page_sizes(spark, sf):
+    """Sizes in points as millimetres and paper names."""
+    return read(spark, sf, "part").select("p_partkey", V.page_size(580 + F.col("p_size"), 790 + F.col("p_size") * 2.0).alias("page_size"))
+
+
+@query(
+    "SELECT p_partkey, ['', 'x', 'xx', 'xxx', 'xl', 'l'][p_size // 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][p_size % 10 + 1] AS roman, CASE WHEN p_size > 26 THEN chr(CAST(96 + (p_size - 1) // 26 AS INT)) ELSE '' END || chr(CAST(97 + (p_size - 1) % 26 AS INT)) AS letters FROM part"
+)
+def list_counters(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", V.roman(F.col("p_size")).alias("roman"), V.letters(F.col("p_size")).alias("letters"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, 'true' AS bare, CAST(4 AS INT) AS n FROM customer")
+def directive_arguments(spark, sf):
+    """Arguments of a directive: quoted, plain, repeated and bare."""
+    text = F.concat(F.lit("Name='"), F.col("c_name"), F.lit("' Wide seg=old SEG = "), F.col("c_mktsegment"), F.lit(' "Two words"'))
+    found = read(spark, sf, "customer").select("c_custkey", V.arguments(text).alias("a"))
+    return found.select("c_custkey", F.col("a")["name"].alias("name"), F.col("a")["seg"].alias("segment"), F.col("a")["wide"].alias("bare"), F.size("a").alias("n"))
+
+
+@query(
+    f"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*{V.DIGIT}{{1,4}}\\s*{V.LEADER}') OR regexp_matches(x, '{V.LEADER}\\s*{V.DIGIT}{{1,4}}\\s*$'))) AS BIGINT) AS leaders, regexp_matches(text[1:30] || ' ....... ' || n_chars, '{V.LEADER}\\s*{V.DIGIT}{{1,4}}\\s*$') AS shown FROM documents"
+)
+def leader_lines(spark, sf):
+    """Lines of a table of contents in each document, and its own beginning as one."""
+    own = F.concat(F.substring("text", 1, 30), F.lit(" ....... "), F.col("n_chars").cast("string"))
+    return read(spark, sf, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), V.leader_line)).cast("long").alias("leaders"), V.leader_line(own).alias("shown"))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey) AS place FROM orders")
+def report_findings(spark, sf):
+    """Urgent orders as the warnings of a customer's report: first, then the others."""
+    rows = read(spark, sf, "orders").withColumn("warn", F.col("o_orderpriority") == "1-URGENT")
+    return reports.findings(rows, "o_custkey", "o_orderkey", "warn").select("o_custkey", "o_orderkey", "place")
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN bool_or(c_nationkey = 3) OVER s THEN 'کتاب ی ' || CASE WHEN bool_or(c_nationkey = 4) OVER s THEN 'ھ' ELSE 'ه' END ELSE 'كتاب ي ھ' END || CASE c_nationkey WHEN 3 THEN 'گ' WHEN 4 THEN 'ڈ' ELSE '' END || c_custkey AS value "
+    "FROM customer WINDOW s AS (PARTITION BY c_mktsegment, c_nationkey // 5)"
+)
+def sheet_written_out(spark, sf):
+    """Cells of a sheet a segment and region of the world: letters by the evidence of the whole sheet, digits in ASCII."""
+    mark = F.when(F.col("c_nationkey") == 3, "گ").when(F.col("c_nationkey") == 4, "ڈ").otherwise("")
+    value = F.concat(F.lit("كتاب ي ھ"), mark, F.translate(F.col("c_custkey").cast("string"), "0123456789", "۰۱۲۳۴۵۶۷۸۹"))
+    cells = read(spark, sf, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit("/"), F.floor(F.col("c_nationkey") / 5).cast("string")).alias("sheet"), value.alias("value"))
+    return reports.written_out(cells, "sheet", "value").select("c_custkey", "value")
+
+
+@query(
+    "WITH c AS (SELECT p_brand AS sheet, p_partkey AS r, 0 AS c, p_name AS value FROM part UNION ALL SELECT p_brand, p_partkey, 1, CASE WHEN p_brand < 'Brand#3' THEN CASE WHEN p_size > 5 THEN ' ' ELSE '' END ELSE p_type END FROM part) "
+    "SELECT sheet, CAST(count(*) AS BIGINT) AS cells FROM c WHERE NOT (c = 1 AND sheet IN (SELECT sheet FROM c WHERE c = 1 GROUP BY sheet HAVING bool_and(value IN ('', ' ')) AND bool_or(value = ' '))) GROUP BY sheet"
+)
+def spacer_columns(spark, sf):
+    """Cells left after a sheet's last column goes if it only spaces."""
+    part = read(spark, sf, "part")
+    last = F.when(F.col("p_brand") < "Brand#3", F.when(F.col("p_size") > 5, " ").otherwise("")).otherwise(F.col("p_type"))
+    cells = part.select(F.col("p_brand").alias("sheet"), F.explode(F.array(F.struct(F.lit(0).alias("c"), F.col("p_name").alias("value")), F.struct(F.lit(1).alias("c"), last.alias("value")))).alias("x")).select("sheet", "x.*")
+    return reports.without_spacer(cells).groupBy("sheet").agg(F.count("*").alias("cells"))
+
+
+@query(
+    "SELECT k, CASE WHEN n < 2 THEN '' WHEN r < 1.5 AND l > 2.5 THEN 'right' WHEN m < 1.5 AND l > 2.5 AND r > 2.5 THEN 'center' ELSE '' END AS align FROM (SELECT l_suppkey % 3 AS k, count(*) AS n, max(x0) - min(x0) AS l, max(x1) - min(x1) AS r, max((x0 + x1) / 2) - min((x0 + x1) / 2) AS m FROM "
+    "(SELECT *, CASE l_suppkey % 3 WHEN 0 THEN 100 - l_quantity WHEN 1 THEN 50 - l_quantity / 2 ELSE 10 END AS x0, CASE l_suppkey % 3 WHEN 0 THEN 100 WHEN 1 THEN 50 + l_quantity / 2 ELSE 10 + l_quantity END AS x1 FROM lineitem) GROUP BY 1)"
+)
+def column_alignment(spark, sf):
+    """Three columns of cells as wide as quantities: flush right, centred and flush left."""
+    k, q = F.col("l_suppkey") % 3, F.col("l_quantity")
+    cells = read(spark, sf, "lineitem").select(k.alias("k"), F.when(k == 0, 100 - q).when(k == 1, 50 - q / 2).otherwise(10.0).alias("x0"), F.when(k == 0, 100.0).when(k == 1, 50 + q / 2).otherwise(10 + q).alias("x1"))
+    return reports.column_align(cells, ["k"])
+
+
 # Pages
 
 
@@ -537,7 +608,7 @@ def page_markdown(spark, sf):
 
 @query()
 def page_sanitized(spark, sf):
-    return read(spark, sf, "pages").select("page_id", H.sanitized(F.col("html")).alias("html"))
+    return read(spark, sf, "pages").select("page_id", sanitize.sanitized(F.col("html")).alias("html"))
 
 
 # Layout and scores

@@ -4,19 +4,27 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import posixpath
 import zipfile
+import zlib
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafspark.functions.values import front_matter  # noqa: F401 - of texts read here
+
+#: A sheet's grid may have so many cells, or a hundred for each that is there.
+MOST_CELLS = 5_000_000
 SEPARATORS = (",", ";", "\t", "|")
 #: Extensions of documents in an archive, of images, and the reason others are left out by.
 DOCUMENTS, IMAGES, NAMED = {"md", "markdown", "txt", "html", "htm", "csv", "docx"}, {"png", "jpg", "jpeg", "gif", "svg", "webp", "bmp"}, {"pdf", "xlsx"}
-MOST_BYTES = 20 * 1024 * 1024
+#: A field of delimited text may be as long as its file.
+csv.field_size_limit(2**31 - 1)
 
 
 def sniffed(data: bytes) -> str:
@@ -49,7 +57,8 @@ def parsed_rows(text: str, separator: str | None = None) -> tuple[str, list[list
         return [[c.strip() for c in r] for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep)]
 
     def fit(sep: str) -> tuple[float, int]:
-        sizes = [len(r) for r in read(sep) if any(r)][:200]
+        head = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+        sizes = list(itertools.islice((len(r) for r in head if any(c.strip() for c in r)), 200))
         most = max(set(sizes), key=sizes.count) if sizes else 0
         return (sizes.count(most) / len(sizes) if most > 1 else 0, most)
 
@@ -127,24 +136,41 @@ def workbook(data: bytes, merged: str = "empty") -> list[tuple[str, bool, list[l
                 if merged == "repeat":
                     for r in range(top + 1, end + 1):
                         cells[r, left] = cells.get((top, left), "")
-            rows = [[cells.get((r, c), "") for c in range(max((k[1] for k in cells), default=-1) + 1)] for r in range(max((k[0] for k in cells), default=-1) + 1)]
+            high, wide = (max((k[i] for k in cells), default=-1) + 1 for i in (0, 1))
+            if high * wide > MOST_CELLS and high * wide > 100 * len(cells):
+                raise ValueError(f"sheet {sheet.get('name')}: {len(cells)} cells in a grid of {high} x {wide}")
+            rows = [[cells.get((r, c), "") for c in range(wide)] for r in range(high)]
             out.append((sheet.get("name"), sheet.get("state") in ("hidden", "veryHidden"), rows))
     return out
 
 
-@F.pandas_udf(T.ArrayType(_struct(sheet=_STRING, hidden=T.BooleanType(), rows=_TABLE)))
-def sheets_of(content: pd.Series) -> pd.Series:
-    return pd.Series([[{"sheet": n, "hidden": h, "rows": r} for n, h, r in workbook(data)] for data in content])
+def _told(read: Callable[[bytes], list[dict]], empty: dict) -> Callable[[pd.Series], pd.Series]:
+    """read of each file; of one that can't be read, a single row with the reason in error."""
+
+    def run(content: pd.Series) -> pd.Series:
+        out = []
+        for data in content:
+            try:
+                out.append([x | {"error": None} for x in read(data)])
+            except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, IndexError, ValueError, StopIteration, NotImplementedError, RuntimeError, EOFError) as why:
+                out.append([empty | {"error": f"{type(why).__name__}: {why}"}])
+        return pd.Series(out)
+
+    return run
+
+
+_SHEET = T.ArrayType(_struct(sheet=_STRING, hidden=T.BooleanType(), rows=_TABLE, error=_STRING))
+sheets_of = F.pandas_udf(_told(lambda data: [{"sheet": n, "hidden": h, "rows": r} for n, h, r in workbook(data)], {"sheet": None, "hidden": None, "rows": None}), _SHEET)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """path, sheet_no, sheet, hidden, r, cells of every workbook below a path."""
+    """path, sheet_no, sheet, hidden, error, r, cells of every workbook below a path; one that can't be read has an error."""
     files = spark.read.format("binaryFile").load(path).select("path", F.posexplode(sheets_of("content")).alias("sheet_no", "s"))
-    return files.select("path", "sheet_no", "s.sheet", "s.hidden", F.posexplode_outer("s.rows").alias("r", "cells"))
+    return files.select("path", "sheet_no", "s.sheet", "s.hidden", "s.error", F.posexplode_outer("s.rows").alias("r", "cells"))
 
 
-def member_reason(name: str, size: int) -> str:
-    """document, image, hidden, or the reason a member is left out: pdf, xlsx, size, type."""
+def member_reason(name: str, size: int, most: int | None = None) -> str:
+    """document, image, hidden, or the reason a member is left out: pdf, xlsx, type, or size if a limit is given."""
     base, ext = posixpath.basename(name), posixpath.splitext(name)[1][1:].lower()
     if name.startswith("__MACOSX/") or base.startswith(".") or not base:
         return "hidden"
@@ -154,31 +180,26 @@ def member_reason(name: str, size: int) -> str:
         return ext
     if ext not in DOCUMENTS:
         return "type"
-    return "size" if size > MOST_BYTES else "document"
+    return "size" if most is not None and size > most else "document"
 
 
-@F.pandas_udf(T.ArrayType(_struct(member=_STRING, reason=_STRING, size=T.LongType(), content=T.BinaryType())))
-def members_of(content: pd.Series) -> pd.Series:
-    out = []
-    for data in content:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            rows = [(i, member_reason(i.filename, i.file_size)) for i in z.infolist()]
-            out.append([{"member": i.filename, "reason": r, "size": i.file_size, "content": z.read(i) if r in ("document", "image") else None} for i, r in rows])
-    return pd.Series(out)
+_MEMBER = T.ArrayType(_struct(member=_STRING, reason=_STRING, size=T.LongType(), content=T.BinaryType(), error=_STRING))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """path, member, reason, size, content of every archive below a path; content only of documents and images."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.explode(members_of("content")).alias("m"))
-    return files.select("path", "m.member", "m.reason", "m.size", "m.content")
+def _members(data: bytes, most: int | None) -> list[dict]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        rows = [(i, member_reason(i.filename, i.file_size, most)) for i in z.infolist()]
+        return [{"member": i.filename, "reason": r, "size": i.file_size, "content": z.read(i) if r in ("document", "image") else None} for i, r in rows]
+
 
+def read_archives(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """path, member, reason, size, content, error of every archive below a path; content only of documents and images.
 
-def front_matter(text: Column) -> Column:
-    """The flat key: value block a text begins with, as a map; null if there is none."""
-    block = F.regexp_extract(text, r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n|\z)", 1)
-    pairs = F.regexp_extract_all(block, F.lit(r"(?m)^([A-Za-z][\w-]*)[ \t]*:"), 1)
-    values = F.regexp_extract_all(block, F.lit(r"(?m)^[A-Za-z][\w-]*[ \t]*:[ \t]*(.*?)[ \t]*$"), 1)
-    return F.when(block != "", F.map_from_arrays(F.array_distinct(pairs), F.slice(values, 1, F.size(F.array_distinct(pairs)))))
+    most: bytes beyond which a document is left out (none: no limit). An archive that can't be read has an error.
+    """
+    members_of = F.pandas_udf(_told(lambda data: _members(data, most), {"member": None, "reason": None, "size": None, "content": None}), _MEMBER)
+    files = spark.read.format("binaryFile").load(path).select("path", F.explode(members_of("content")).alias("m"))
+    return files.select("path", "m.member", "m.reason", "m.size", "m.content", "m.error")
 
 
 def write_texts(rows: DataFrame, path: str, name: str, text: str) -> None:
