@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and reread as the next one's docs.
 All but the last return the columns of documents.
+
+Every stage takes null texts, ids and sources, empty and very long texts, repeated rows, empty tables and extra columns
+(which pass through). What each does with them is stated in its operator's docstring and, in short, at the stage.
 """
 
 from __future__ import annotations
@@ -15,27 +18,34 @@ from sheafspark.llm.common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and documents that are rejected."""
+    """Failing lines go, and documents that are rejected: those without a word (null and empty texts too), that repeat
+    themselves, or that lose over half their word characters. Repeated rows are judged each by themselves."""
     return quality_rules.clean(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word Jaccard 0.8 or more) stays, that of the smallest doc_id."""
+    """One document of each group of near-duplicates (5-word Jaccard 0.8 or more) stays, that of the smallest doc_id.
+
+    Rows of one doc_id are told apart by their texts, and equal rows come back once; a null doc_id gives way to others.
+    """
     return near.deduplicated(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; rows without any, null texts too, stay as they are."""
     return secrets.redacted(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources reach their target weights."""
+    """Documents are repeated or left out so that sources reach their target weights; null is a source of its own.
+
+    Documents without words go. Rows of one doc_id are documents of their own.
+    """
     return mixing.mixed(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, the ids and the digests of the ids and of the text decoded from them."""
+    """doc_id, source, n_tokens, the ids and the digests of the ids and of the text decoded from them, a row a document."""
     return bpe.encoded(docs.select("doc_id", "source", "text")).drop("text")
 
 
@@ -47,7 +57,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encoding_stage),
 ]
 
-#: No SQL states near-duplicate components or BPE; tests/llm compare the stages with brute-force versions.
+#: No SQL states near-duplicate components or BPE. Tests in tests/llm: test_quality_lines, test_near, test_secret_values,
+#: test_mixing_order and test_llm_operators (BPE against the tokenizers library), each against a plain version.
 ORACLE_SQL = None
 
 
