@@ -26,6 +26,8 @@ def scratch(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sheaf-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sheaf-{uuid.uuid4().hex}"
