@@ -96,20 +96,6 @@ def page_flags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return out.withColumn("flags", flags)
 
 
-def ladder(pages: DataFrame) -> DataFrame:
-    """pages (glyphs, lost, words, glued) with confidence and mode.
-
-    Confidence: 1 less .5 for lost glyphs (full at 20 %) and .3 for glued words (full at 10 %), to 3 places. Mode: ocr
-    from 20 % lost, simplified below .45 or with both flags, else full.
-    """
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.when(F.col(b) > 0, F.col(b))).otherwise(0.0)
-    lost, glued = share("lost", "glyphs"), share("glued", "words")
-    confidence = F.round(1 - 0.5 * F.least(lost / 0.2, F.lit(1.0)) - 0.3 * F.least(glued / 0.1, F.lit(1.0)), 3)
-    out = pages.withColumn("confidence", confidence)
-    mode = F.when(lost >= 0.2, "ocr").when((F.col("confidence") < 0.45) | ((F.col("lost") >= 5) & (lost >= 0.02) & (F.col("glued") >= 4) & (glued >= 0.03)), "simplified").otherwise("full")
-    return out.withColumn("mode", mode)
-
-
 def lexicon(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_hyphenated: distinct words of letters, and those with hyphens, not counting a line's last piece with one."""
     body = F.regexp_replace(F.lower(text), r"\p{L}+-\n", " ")

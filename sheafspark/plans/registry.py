@@ -355,11 +355,14 @@ def page_flags(spark, sf):
 
 
 @query(
-    f"""WITH f AS (SELECT *, CASE WHEN glyphs > 0 THEN lost / glyphs ELSE 0 END AS ls, CASE WHEN words > 0 THEN glued / words ELSE 0 END AS gs FROM ({_FLAGS})), c AS (SELECT *, round(1 - 0.5::DOUBLE * least(ls / 0.2::DOUBLE, 1.0) - 0.3::DOUBLE * least(gs / 0.1::DOUBLE, 1.0), 3) AS confidence FROM f)
-SELECT doc_id, confidence, CASE WHEN ls >= 0.2 THEN 'ocr' WHEN confidence < 0.45 OR (lost >= 5 AND ls >= 0.02 AND glued >= 4 AND gs >= 0.03) THEN 'simplified' ELSE 'full' END AS mode FROM c"""
+    f"""WITH f AS (SELECT *, CASE WHEN glyphs > 0 THEN lost / glyphs ELSE 0 END AS ls, CASE WHEN words > 0 THEN glued / words ELSE 0 END AS gs FROM ({_FLAGS})), c AS (SELECT *, round(1 - 0.5::DOUBLE * least(ls / 0.2::DOUBLE, 1.0) - 0.3::DOUBLE * least(gs / 0.25::DOUBLE, 1.0), 3) AS confidence FROM f)
+SELECT doc_id, confidence, CASE WHEN ls >= 0.2 OR confidence < 0.45 OR (lost >= 5 AND ls >= 0.02 AND glued >= 4 AND gs >= 0.03) THEN 'simplified' ELSE 'full' END AS mode FROM c"""
 )
 def confidence_ladder(spark, sf):
-    return stats.ladder(stats.page_flags(read(spark, sf, "documents"))).select("doc_id", "confidence", "mode")
+    """Confidence and decision of each document as a page whose glyphs and words alone are known."""
+    pages = stats.page_flags(read(spark, sf, "documents")).withColumn("flags", F.split("flags", ","))
+    unknown = {k: F.lit(0) for k in ("covered", "guessed", "tree_votes", "tree_agree", "ambig", "gaps")} | {"samples": F.lit(None).cast("int"), "picture_share": F.lit(0.0), "failed": F.lit(None).cast("string")}
+    return reports.decided(reports.confidence(pages.withColumns(unknown))).select("doc_id", "confidence", F.col("decision").alias("mode"))
 
 
 @query("WITH w AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_replace(lower(text), '\\p{L}+-\\n', ' ', 'g'), '(\\p{L}+(?:-\\p{L}+)*)')) AS w FROM documents) SELECT doc_id, len(w) AS n_words, len(list_filter(w, lambda x: contains(x, '-'))) AS n_hyphenated FROM w")
