@@ -12,12 +12,13 @@ doc_id comes last and ties go by text. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafspark.llm.common import table
@@ -123,31 +124,53 @@ def with_edit(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return edited, entries(joined(common, least(x[kept:], kept)), of), entries(joined(common, least(y[kept:], kept)), edited_of)
 
 
+def _beginning(text: Column) -> Column:
+    """The first seven bytes of a text as a number, in the order of texts; -1 for null."""
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+
+
 def successive(docs: DataFrame, text: str, run, schema: str) -> DataFrame:
     """run over rows (bucket, halo, doc_id, text): each bucket's documents ascending, then the document after them.
 
-    Buckets are ranges of doc_id; the first document of each bucket is also sent, as a halo, to the bucket before it
-    (that of the first bucket to the last). The driver holds one doc_id a bucket.
+    Buckets are ranges of doc_id, one a partition; the first document of each bucket is also sent, as a halo, to the
+    bucket before it (that of the first bucket to the last). A doc_id (or null) that holds several quantiles is cut
+    further by the beginnings of its texts; rows equal in both stay together. The driver holds one key a bucket.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "doc_id", F.col(text).alias("text"))
-    cuts = sorted({int(x) for x in rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    quantiles = (rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)], 5 * parts)).head()[0] or []) if parts > 1 else []
+    often = {i: n for i, n in Counter(quantiles).items() if n > 1}
+    keyed = rows.withColumn("tie", F.when(F.col("id").isin(list(often)), _beginning(F.col("text"))).otherwise(F.lit(-1)) if often else F.lit(-1).cast("long"))
+    cuts = {(i, -1) for i in quantiles}
+    if often:
+        at = F.percentile_approx("tie", [i / max(often.values()) for i in range(1, max(often.values()))], 100 * parts)
+        cuts |= {(r.id, int(t)) for r in keyed.where(F.col("id").isin(list(often))).groupBy("id").agg(at.alias("ties")).collect() for t in r.ties}
+    cut_ids, cut_ties = (np.array(x, np.int64) for x in (zip(*sorted(cuts)) if cuts else ([], [])))
+
+    def placed(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The number of cuts at or before each (id, tie)."""
+        out = np.searchsorted(cut_ids, ids, side="right")
+        for i in often:
+            own = ids == i
+            low, high = np.searchsorted(cut_ids, i, side="left"), np.searchsorted(cut_ids, i, side="right")
+            out[own] = low + np.searchsorted(cut_ties[low:high], ties[own], side="right")
+        return out
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), ids.to_numpy(), side="right").astype(np.int32))
+    def bucket(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(placed(ids.to_numpy(), ties.to_numpy()).astype(np.int32))
 
-    firsts = {r.bucket: r.id for r in rows.select(bucket("id").alias("bucket"), "id").groupBy("bucket").agg(F.min("id").alias("id")).collect()}
-    full = sorted(firsts)
-    back = {firsts[b]: full[i - 1] for i, b in enumerate(full)}
+    firsts = keyed.select(bucket("id", "tie").alias("bucket"), "id", "tie").groupBy("bucket").agg(F.min(F.struct("id", "tie")).alias("key")).collect()
+    full = sorted((r.bucket, (r.key.id, r.key.tie)) for r in firsts)
+    back = {key: full[i - 1][0] for i, (_, key) in enumerate(full)}
 
     @F.pandas_udf("array<int>")
-    def sent(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(np.array(cuts, np.int64), ids.to_numpy(), side="right").tolist()
-        return pd.Series([[b, -1 - back[i]] if i in back else [b] for i, b in zip(ids.tolist(), own)])
+    def sent(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        own = placed(ids.to_numpy(), ties.to_numpy()).tolist()
+        return pd.Series([[b, -1 - back[key]] if key in back else [b] for key, b in zip(zip(ids.tolist(), ties.tolist()), own)])
 
-    dealt = rows.withColumn("to", F.explode(sent("id"))).select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("bucket"), (F.col("to") < 0).alias("halo"), "id", "doc_id", "text")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", "id", "text").select("bucket", "halo", "doc_id", "text").mapInArrow(run, schema)
+    dealt = keyed.withColumn("to", F.explode(sent("id", "tie"))).select(F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("bucket"), (F.col("to") < 0).alias("halo"), "id", "doc_id", "text")
+    return dealt.repartitionById(len(cut_ids) + 1, "bucket").sortWithinPartitions("bucket", "halo", "id", "text").select("bucket", "halo", "doc_id", "text").mapInArrow(run, schema)
 
 
 def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
