@@ -25,13 +25,14 @@ from sheafspark.llm.common import table
 
 GRAM = 6
 TUPLE = 2
-SKETCHES = 32
+SKETCHES = 64
 BLOCK = 4096
 LAST = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_ODD = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TOP = np.uint64((1 << 64) - 1)
+_ODD = np.random.default_rng(11).integers(1, 1 << 31, SKETCHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_TOP = np.uint32((1 << 32) - 1)
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,9 +55,19 @@ def grams(points: np.ndarray) -> np.ndarray:
     return _mixed(out)
 
 
+def _grouped(of: np.ndarray) -> np.ndarray:
+    """An order of places in which equal hashes stand together, each by place: one sort of hash and place in one number."""
+    if len(of) <= int(_PLACE):
+        order = (np.sort((of & ~_PLACE) | np.arange(len(of), dtype=np.uint64)) & _PLACE).astype(np.int64)
+        x = of[order]
+        if not (((x[1:] ^ x[:-1]) <= _PLACE) & (x[1:] != x[:-1])).any():
+            return order
+    return np.argsort(of, kind="stable")
+
+
 def numbered(of: np.ndarray) -> np.ndarray:
     """Each sequence's hash with how often it has occurred before."""
-    order = np.argsort(of, kind="stable")
+    order = _grouped(of)
     new = np.r_[True, of[order][1:] != of[order][:-1]] if len(of) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
     count = np.empty(len(of), np.uint64)
@@ -65,12 +76,15 @@ def numbered(of: np.ndarray) -> np.ndarray:
 
 
 def least(x: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each sketch, the TUPLE least hash values of x and their places, counted from first; few x leave gaps at the top."""
+    """For each sketch, the TUPLE least hash values of x and their places, counted from first; few x leave gaps at the top.
+
+    x is well mixed, so its upper half times an odd number is a sketch's hash; equal values go by place.
+    """
+    x = (x >> np.uint64(32)).astype(np.uint32)
     values, places = np.full((SKETCHES, TUPLE), _TOP), np.full((SKETCHES, TUPLE), -1)
     rows = np.arange(SKETCHES)
     for at in range(0, len(x), BLOCK):
         v = x[None, at : at + BLOCK] * _ODD[:, None]
-        v ^= v >> np.uint64(32)
         got_v, got_p = [], []
         for _ in range(min(TUPLE, v.shape[1])):
             i = v.argmin(axis=1)

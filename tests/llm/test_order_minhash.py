@@ -2,6 +2,8 @@
 
 import hashlib
 
+import numpy as np
+
 from sheafspark.llm import order_minhash as M
 
 TOP = (1 << 64) - 1
@@ -30,8 +32,8 @@ def plain(text):
         named.append(h if n == 0 else mixed((h + n * base) & TOP))
     out = []
     for odd in M._ODD.tolist():
-        value = [(x * odd) & TOP for x in named]
-        least = sorted(range(len(named)), key=lambda i: (value[i] ^ (value[i] >> 32), i))[: M.TUPLE]
+        value = [((x >> 32) * odd) & 0xFFFFFFFF for x in named]
+        least = sorted(range(len(named)), key=lambda i: (value[i], i))[: M.TUPLE]
         entry = 0
         for x in [0] * (M.TUPLE - len(least)) + [hashes[i] for i in sorted(least)]:
             entry = (entry * base + x) & TOP
@@ -44,6 +46,23 @@ def test_plain_version():
         assert M.fingerprint(text).tolist() == plain(text)
 
 
+def test_equal_hashes_stand_together():
+    few = np.array([5, 3, 5, 5 + (1 << 20), 5, 3, 5 + (1 << 20)], np.uint64)  # alike in their upper bits
+    assert M._grouped(few).tolist() == [1, 5, 0, 2, 4, 3, 6]
+    many = np.random.default_rng(1).integers(0, 50, 500, dtype=np.uint64) << np.uint64(30)
+    assert M._grouped(many).tolist() == np.argsort(many, kind="stable").tolist()
+
+
+def test_half_equal_texts_are_near():
+    rng = np.random.default_rng(2)
+    text = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    near = []
+    for _ in range(200):
+        own = text(600)
+        near.append(M.likeness(M.fingerprint(own), M.fingerprint(own[:300] + text(300))))
+    assert min(near) > 0 and M.likeness(M.fingerprint(text(600)), M.fingerprint(text(600))) == 0
+
+
 def test_one_id_holds_most(spark):
     data = [(None if i % 3 else 7, f"{chr(97 + i % 26)}{i} " * (i % 5)) for i in range(400)] + [(i, f"text {i}") for i in range(60)] + [(None, None), (7, "")]
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
