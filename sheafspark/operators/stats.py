@@ -106,8 +106,42 @@ def lexicon(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def modal(rows: DataFrame, by: str, value: Column) -> DataFrame:
     """by, mode, n: the commonest value; the least of equals."""
     counted = rows.groupBy(by, value.alias("mode")).agg(F.count("*").alias("n"))
-    first = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("n"), "mode"))
-    return counted.withColumn("_k", first).where("_k = 1").drop("_k")
+    first = counted.groupBy(by).agg(F.min(F.struct((-F.col("n")).alias("less"), "mode")).alias("x"))
+    return first.select(by, "x.mode", (-F.col("x.less")).alias("n"))
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], bins: int = 4096) -> DataFrame:
+    """by and, for each name of shares, that exact percentile of value, between two neighbours in proportion.
+
+    The first pass counts equal-width bins of each group, the second looks only into the bins that hold a wanted rank,
+    so no task gathers a group's values. Null values don't count; a group without others has nulls; NaN is the largest.
+    """
+    v = F.col("_v")
+    ends = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    rows = rows.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    groups = rows.groupBy("_by").agg(F.min(F.when(~ends, v)).alias("_low"), F.max(F.when(~ends, v)).alias("_high"), F.count("_v").alias("_n"))
+    own = lambda d, *more: F.col("_by").eqNullSafe(d["_of"]) if not more else F.col("_by").eqNullSafe(d["_of"]) & (F.col("_bin") == d["_at"])
+    limits = groups.withColumnRenamed("_by", "_of")
+    place = F.when(v == float("-inf"), -1).when(ends, bins + 1).when(F.col("_high") == F.col("_low"), 0).otherwise(F.floor((v / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2) * bins))
+    binned = rows.where("_v is not null").join(limits, own(limits)).select("_by", "_v", place.cast("int").alias("_bin"))
+
+    counted = binned.groupBy("_by", "_bin").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy("_by").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumns({"_before": F.coalesce(F.sum("_c").over(upto), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy("_by"))})
+    rank = lambda p, f: f(F.lit(p) * (F.col("_n") - 1)).cast("long")
+    ranks = F.array(*(F.struct(F.lit(f"{name}{side}").alias("name"), rank(p, f).alias("rank")) for name, p in shares.items() for side, f in (("<", F.floor), (">", F.ceil))))
+    wanted = counted.withColumn("_w", F.explode(ranks)).where("_w.rank >= _before and _w.rank < _before + _c")
+    wanted = wanted.select(F.col("_by").alias("_of"), F.col("_bin").alias("_at"), F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_before")).alias("_k"))
+
+    needed = wanted.select("_of", "_at").distinct()
+    inside = binned.join(needed, own(needed, 1), "left_semi").groupBy("_by", "_bin", "_v").agg(F.count("*").alias("_c"))
+    within = Window.partitionBy("_by", "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_before", F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    hits = inside.join(wanted, own(wanted, 1)).where("_k >= _before and _k < _before + _c")
+    found = hits.groupBy("_of").agg(*(F.max(F.when(F.col("_name") == f"{name}{side}", v)).alias(f"_{name}{side}") for name in shares for side in "<>"))
+    part = lambda p: F.lit(p) * (F.col("_n") - 1) - F.floor(F.lit(p) * (F.col("_n") - 1))
+    value_of = lambda name, p: F.when(F.col(f"_{name}<") == F.col(f"_{name}>"), F.col(f"_{name}<")).otherwise(F.col(f"_{name}<") + (F.col(f"_{name}>") - F.col(f"_{name}<")) * part(p))
+    return groups.join(found, own(found), "left").select(F.col("_by").alias(by), *(value_of(name, p).alias(name) for name, p in shares.items()))
 
 
 def drift(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafspark.functions.text import cell_class, coerce, csv_field, strip_marks, table_cell, text_width
+from sheafspark.functions.text import cell_class, coerce, csv_field, natural_key, strip_marks, table_cell, text_width
 from sheafspark.operators.lines import doc_lines, outside_fences
 
 
@@ -81,6 +81,24 @@ def unique_names(rows: DataFrame, name: str, order: str, limit: int = 31) -> Dat
     return rows.withColumn("unique", F.when(n == 1, F.substring(name, 1, limit)).otherwise(F.concat(F.col(name).substr(F.lit(1), F.lit(limit) - F.length(suffix)), suffix)))
 
 
+def natural_places(rows: DataFrame, name: str, tie: str) -> DataFrame:
+    """rows with place: from 1, in natural order of name (a2 before a10), then tie; null names first.
+
+    Names are counted by their beginning and first number, and places begin where these counts end: only a row for each
+    beginning meets in one task. Names that agree in both are ranked together.
+    """
+    letters, number, low = natural_key(F.col(name))
+    keyed = rows.withColumns({"_letters": letters, "_number": number, "_low": low})
+    counted = keyed.groupBy(F.col("_letters").alias("_l"), F.col("_number").alias("_m")).agg(F.count("*").alias("_c"))
+    above = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    first = counted.groupBy("_l").agg(F.sum("_c").alias("_c")).select(F.col("_l").alias("_h"), F.coalesce(F.sum("_c").over(above(Window.orderBy("_l"))), F.lit(0)).alias("_base"))
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_c").over(above(Window.partitionBy("_l").orderBy("_m"))), F.lit(0)))
+    start = counted.join(first, F.col("_l").eqNullSafe(F.col("_h"))).select("_l", "_m", (F.col("_base") + F.col("_before")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_letters", "_number").orderBy("_low", tie))
+    placed = keyed.withColumn("_in", within).join(start, F.col("_letters").eqNullSafe(F.col("_l")) & F.col("_number").eqNullSafe(F.col("_m")))
+    return placed.withColumn("place", F.col("_start") + F.col("_in")).drop("_letters", "_number", "_low", "_l", "_m", "_start", "_in")
+
+
 def distributed(widths: DataFrame, table: str, least: str, most: str, room: float) -> DataFrame:
     """widths with width: all columns at most if they fit, in proportion to least if not even those do, else between."""
     w = Window.partitionBy(table)

@@ -379,7 +379,8 @@ def line_length_mode(spark, sf):
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def calibration(spark, sf):
     """Median and 95th percentile a group."""
-    return read(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("median"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    found = stats.percentiles(read(spark, sf, "events"), "event_type", "value", {"median": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 3) AS slope FROM lineitem GROUP BY l_returnflag")
@@ -480,11 +481,8 @@ def split_holdout(spark, sf):
 @query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY regexp_extract(lower(n), '^([^0-9]*)', 1), coalesce(TRY_CAST(nullif(regexp_extract(lower(n), '^[^0-9]*([0-9]{1,15})', 1), '') AS BIGINT), -1), lower(n), p_partkey) AS BIGINT) AS place FROM (SELECT p_partkey, p_brand || ' ' || p_size AS n FROM part)")
 def natural_order(spark, sf):
     """Parts of each kind of name in natural order: a2 before a10."""
-    from pyspark.sql import Window
-
     rows = read(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string")).alias("n"))
-    # The place among all rows is a report over a dimension table; large inputs are only range-sorted.
-    return rows.select("p_partkey", F.row_number().over(Window.orderBy(*T.natural_key(F.col("n")), "p_partkey")).cast("long").alias("place"))
+    return tables.natural_places(rows, "n", "p_partkey").select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
 # Values, reports and sheets
