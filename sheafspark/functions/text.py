@@ -88,9 +88,9 @@ def text_width(text: Column) -> Column:
     return total + F.length(rest) * F.lit(WIDTH_OF_OTHERS)
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, entities: dict[str, str] = ENTITIES) -> Column:
     """Named entities; the ampersand last, so that what it uncovers stays."""
-    for name, to in ENTITIES.items():
+    for name, to in entities.items():
         text = F.replace(text, F.lit(name), F.lit(to))
     return text
 
