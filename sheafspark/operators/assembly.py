@@ -69,6 +69,48 @@ def in_boxes(points: DataFrame, boxes: DataFrame, page: str, band: float = 50.0)
     return points.withColumn("_band", of("y")).join(dealt, [page, "_band"]).where("x >= x0 and x < x1 and y >= y0 and y < y1").drop("_band")
 
 
+def counted_in_boxes(points: DataFrame, boxes: DataFrame, page: str) -> DataFrame:
+    """boxes that hold points of their page, upper edges excluded, with points, how many; columns as in boxes.
+
+    points: page, x, y; boxes: page, x0, y0, x1, y1 and more. No pair of a point and a box is made. Points alike and
+    boxes alike are one row. A box's number is a sum over its corners of the points below and left of each, with a
+    sign. Points below a height are a few runs of the page's sorted heights, of lengths that are powers of two and one
+    of each at most; a point is in one run of each length, and within a run numbers are running sums by x. Work grows
+    as rows times the logarithm of a page's heights; what meets in one task are a page's different heights, and a run's
+    different places along x.
+    """
+    held = points.where("x IS NOT NULL AND y IS NOT NULL").groupBy(page, "x", "y").agg(F.count("*").alias("n"))
+    edges = ["x0", "y0", "x1", "y1"]
+    shapes = boxes.where("x0 < x1 AND y0 < y1").select(page, *edges).distinct()
+
+    # rank: how many of the page's heights are below; edges come before a height equal to them.
+    heights = held.select(page, F.col("y").alias("h")).distinct().withColumn("is_height", F.lit(1))
+    tops = shapes.select(page, F.explode(F.array("y0", "y1")).alias("h")).distinct().withColumn("is_height", F.lit(0))
+    by_page = Window.partitionBy(page)
+    below = F.sum("is_height").over(by_page.orderBy("h", "is_height").rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_height")
+    ranks = heights.unionByName(tops).withColumns({"rank": below, "of": F.sum("is_height").over(by_page)})
+
+    # Run j of length 2^l holds ranks from j * 2^l; ranks below r are, for each bit l set in r, run (r >> l) - 1.
+    places = ranks.where("is_height = 1").select(F.col(page).alias("_p"), "h", "rank", "of")
+    last = lambda v: F.floor(F.log2(v.cast("double"))).cast("int")
+    levels = F.filter(F.sequence(F.lit(0), last(F.col("of"))), lambda v: F.expr("rank").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), v)) == 0)
+    runs = held.join(places, (F.col(page) == F.col("_p")) & (F.col("y") == F.col("h"))).withColumn("l", F.explode(levels))
+    runs = runs.groupBy(page, "l", F.call_function("shiftright", "rank", F.col("l")).alias("j"), "x").agg(F.sum("n").alias("n"))
+
+    corner = lambda x, y, sign: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(sign).alias("sign"))
+    corners = shapes.withColumn("c", F.explode(F.array(corner("x1", "y1", 1), corner("x0", "y1", -1), corner("x1", "y0", -1), corner("x0", "y0", 1)))).select(page, *edges, "c.*")
+    found = ranks.where("is_height = 0 AND rank > 0").select(F.col(page).alias("_p"), "h", "rank")
+    asked = corners.select(page, "x", "y").distinct().join(found, (F.col(page) == F.col("_p")) & (F.col("y") == F.col("h")))
+    bits = F.filter(F.sequence(F.lit(0), last(F.col("rank"))), lambda v: F.expr("rank").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), v)) != 0)
+    asked = asked.withColumn("l", F.explode(bits)).select(page, "l", (F.call_function("shiftright", "rank", F.col("l")) - 1).alias("j"), "x", "y", F.lit(0).cast("long").alias("n"))
+    # Questions (n = 0) come before the points at their x.
+    so_far = Window.partitionBy(page, "l", "j").orderBy("x", "n").rowsBetween(Window.unboundedPreceding, 0)
+    left = runs.withColumn("y", F.lit(None)).unionByName(asked).withColumn("n_left", F.sum("n").over(so_far)).where("n = 0")
+    left = left.groupBy(F.col(page).alias("_p"), F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.sum("n_left").alias("_n"))
+    sums = corners.join(left, (F.col(page) == F.col("_p")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).groupBy(page, *edges).agg(F.sum(F.col("sign") * F.col("_n")).alias("points")).where("points > 0")
+    return boxes.join(sums, [page, *edges]).select(*boxes.columns, "points")
+
+
 def heading_levels(lines: DataFrame, key: str, size: str, times: float = 1.4) -> DataFrame:
     """key, size, lines, level: 1 for the largest size, and so on; null below so many times the body's size.
 
