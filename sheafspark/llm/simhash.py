@@ -33,6 +33,8 @@ BITS = 3
 #: Most members of a group that one task compares; a larger one is split further.
 GROUP = 1024
 FANOUT = 8
+#: Edges of a graph that one task joins.
+EDGES = 1 << 19
 
 
 def _masks() -> list[int]:
@@ -254,15 +256,53 @@ def links(distinct: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _edges(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows.T], ["a", "b"])
+
+
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) as others, fewer than their nodes, that join the same: each node to the least of its component."""
+
+    def joined(held: list[np.ndarray]) -> np.ndarray:
+        nodes, of = np.unique(np.concatenate(held), return_inverse=True)
+        of = of.reshape(-1, 2)
+        root = least_of(len(nodes), of[:, 0], of[:, 1])
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        return np.column_stack([nodes[linked], nodes[root[linked]]])
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.column_stack([c.to_numpy() for c in batch.columns]))
+        if sum(map(len, held)) >= 2 * EDGES:
+            held = [joined(held)]
+            if len(held[0]) > EDGES:
+                yield _edges(held.pop())
+    if held:
+        yield _edges(joined(held))
+
+
+def forest(edges: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """edges (a, b) as others, fewer a node, that join the same, and whether they are the result: (node, root) as components.
+
+    Edges are dealt by range to tasks of about `most`, so that nearly all edges of a node meet, and a hub's may be in many.
+    """
+    tasks = max(1, -(-edges.count() // most))
+    if tasks == 1:
+        return stored(edges.coalesce(1).mapInArrow(_forest, "a long, b long")), True
+    return stored(edges.repartitionByRange(tasks, "a", "b").mapInArrow(_forest, "a long, b long").distinct()), False
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """edges (a, b) -> (node, root): each node that has an edge but the least of its component, and that least node.
 
-    Alternating large-star and small-star rounds; all work is by node in aggregates and joins, so a hub's
-    neighbours never meet in one task. Each round is written to the shared folder.
+    Near copies share many buckets and come with many edges a node, each of which would be a row of every round. So
+    forests of them come first; `most` edges at most are one forest and done. Above that, alternating large-star and
+    small-star rounds join the forests; all work is by node in aggregates and joins, so a hub's neighbours never meet
+    in one task. Each round is written to the shared folder.
     """
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    last = state(edges)
+    edges, done = forest(stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()), most)
+    last = [0] if done else state(edges)
     while last[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
